@@ -65,6 +65,8 @@ def mark_rejects(df: DataFrame, column_types: Mapping[str, str]) -> DataFrame:
 
 
 def accepted(marked: DataFrame) -> DataFrame:
+    """Rows to load. ``marked`` should be a written table, as both halves read it: a filter on a
+    lazy one is pushed below all the rules and makes Spark evaluate them again."""
     return marked.where(~F.col(REJECTED)).drop(REASON, FIELD, ADVICE, REJECTED)
 
 
