@@ -10,22 +10,39 @@ from ledgerprep.functions.identifiers import EMPTY_VALUE
 from ledgerprep.functions.text import raw_text, strip
 
 
-def normalize_phone(c: Column, prefix: str = fv.DIAL_PREFIX) -> Column:
-    """Digits with an international prefix; ``00`` reads as ``+``, none means ``prefix``."""
-    international = F.regexp_replace(strip(raw_text(c)), "^00", "+")
-    kept = F.regexp_replace(international, "[^0-9+]", "")
+def phone_letters(c: Column) -> Column:
+    """Digits and plus signs of a phone number; a leading ``00`` reads as ``+``."""
+    text = strip(raw_text(c))
+    international = F.when(text.startswith("00"), F.concat(F.lit("+"), F.substr(text, F.lit(3))))
+    return F.regexp_replace(international.otherwise(text), "[^0-9+]", "")
+
+
+def with_prefix(letters: Column, prefix: str = fv.DIAL_PREFIX) -> Column:
     return (
-        F.when(kept == "", F.lit(fv.EMPTY_MARK))
-        .when(kept.startswith("+"), kept)
-        .otherwise(F.concat(F.lit(prefix), kept))
+        F.when(letters == "", F.lit(fv.EMPTY_MARK))
+        .when(letters.startswith("+"), letters)
+        .otherwise(F.concat(F.lit(prefix), letters))
     )
 
 
-def postal_digits(c: Column) -> Column:
-    digits = F.regexp_replace(raw_text(c), "[^0-9]", "")
+def normalize_phone(c: Column, prefix: str = fv.DIAL_PREFIX) -> Column:
+    """International phone number; one without prefix gets ``prefix``."""
+    return with_prefix(phone_letters(c), prefix)
+
+
+def only_digits(c: Column) -> Column:
+    return F.regexp_replace(raw_text(c), "[^0-9]", "")
+
+
+def padded(digits: Column) -> Column:
     return F.when(F.length(digits) == 4, F.concat(F.lit("0"), digits)).otherwise(digits)
 
 
+def postal_digits(c: Column) -> Column:
+    """Digits of a postal code; four get a leading zero."""
+    return padded(only_digits(c))
+
+
 def postal_code_error(digits: Column) -> Column:
     size = F.length(digits)
     return (

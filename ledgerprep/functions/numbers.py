@@ -35,25 +35,17 @@ def parse_strict_number(c: Column) -> Column:
     return parse_plain_number(strip(c.cast("string")))
 
 
-def number_text(x: Column) -> Column:
-    """Shortest decimal text of a double as messages show it: ``-0.5``, ``9999.0``, ``1e+16``."""
-    plain = x.cast("string")
-    size = F.abs(x)
-    digits = F.rtrim(plain.try_cast("decimal(38,18)").cast("string"), F.lit("0"))
-    spelled = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
-    mantissa = F.regexp_replace(F.regexp_extract(plain, "^(.*)E", 1), "\\.0$", "")
-    exponent = F.regexp_extract(plain, "E-?(\\d+)$", 1)
-    scientific = F.concat(
-        mantissa,
-        F.when(plain.contains("E-"), F.lit("e-")).otherwise("e+"),
-        F.when(F.length(exponent) < 2, F.lpad(exponent, 2, "0")).otherwise(exponent),
-    )
-    return (
-        F.when(size == float("inf"), F.when(x > 0, F.lit("inf")).otherwise("-inf"))
-        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), plain)
-        .when((size >= 1e-4) & (size < 1e16), spelled)
-        .otherwise(scientific)
-    )
+def number_text(name: str) -> str:
+    """SQL for the shortest decimal text of a double column as messages show it: ``-0.5``,
+    ``9999.0``, ``1e+16``."""
+    plain, size = f"cast({name} AS string)", f"abs({name})"
+    digits = f"rtrim('0', cast(try_cast({plain} AS decimal(38,18)) AS string))"
+    exponent = f"regexp_extract({plain}, 'E-?([0-9]+)$', 1)"
+    return f"""CASE WHEN {size} = double('infinity') THEN if({name} > 0, 'inf', '-inf')
+      WHEN {size} = 0 OR ({size} >= 1e-3 AND {size} < 1e7) THEN {plain}
+      WHEN {size} >= 1e-4 AND {size} < 1e16 THEN if(endswith({digits}, '.'), {digits} || '0', {digits})
+      ELSE replace(substring_index({plain}, 'E', 1), '.0', '') || if(contains({plain}, 'E-'), 'e-', 'e+')
+        || if(length({exponent}) < 2, lpad({exponent}, 2, '0'), {exponent}) END"""
 
 
 # Shape of a text -> pattern it is read with, in the order of preference. The first five are

@@ -73,7 +73,8 @@ def direct_pairs(names: DataFrame, threshold: float, scorer: str) -> DataFrame:
             _close(F.col("l.name"), F.col("r.name"), threshold),
         ],
     )
-    return confirm(met.select(*_pair_columns("l", "r")), threshold, scorer)
+    pairs = met.select(F.col("l.block").alias("block"), *_pair_columns("l", "r"))
+    return confirm(pairs, threshold, scorer)
 
 
 def _segment_count(size: Column, shared: Column, threshold: float) -> Column:

@@ -6,14 +6,15 @@ materialised, so each code is cleaned once per row and nothing is shuffled.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerprep import fixed_values as fv
 from ledgerprep.functions import address, contact, identifiers
-from ledgerprep.functions.text import alphanumeric_code, clean_text, raw_text, strip
+from ledgerprep.functions.text import alphanumeric_code, raw_text, squeeze, strip, text_or_mark
 
 VALIDATED_TYPES = ("tax_id", "iban", "postal_code", "bic")
 STRICT_TYPES = ("tax_id", "iban")
@@ -25,20 +26,27 @@ KPI_NAMES = (
     "address_fixes",
 )
 
-# A rule is (cleaned value of a raw column, reason it is wrong given the cleaned value).
-Rule = tuple[Callable[[Column], Column], Callable[[Column], Column] | None]
+@dataclass(frozen=True)
+class Rule:
+    """How a semantic type is cleaned: ``tidy`` on the raw cell, ``finish`` on the tidied one
+    (a projection of its own), and ``reason``, on the finished one, why it is wrong."""
+
+    tidy: Callable[[Column], Column]
+    finish: Callable[[Column], Column] | None = None
+    reason: Callable[[Column], Column] | None = None
+
 
 RULES: dict[str, Rule] = {
-    "text": (clean_text, None),
-    "province": (clean_text, None),
-    "phone": (contact.normalize_phone, None),
-    "address": (address.clean_address, None),
-    "tax_id": (alphanumeric_code, identifiers.tax_id_error),
-    "iban": (alphanumeric_code, identifiers.iban_error),
-    "bic": (alphanumeric_code, identifiers.bic_error),
-    "postal_code": (contact.postal_digits, contact.postal_code_error),
+    "text": Rule(squeeze, text_or_mark),
+    "province": Rule(squeeze, text_or_mark),
+    "phone": Rule(contact.phone_letters, contact.with_prefix),
+    "address": Rule(address.clean_address),
+    "tax_id": Rule(alphanumeric_code, reason=identifiers.tax_id_error),
+    "iban": Rule(alphanumeric_code, reason=identifiers.iban_error),
+    "bic": Rule(alphanumeric_code, reason=identifiers.bic_error),
+    "postal_code": Rule(contact.only_digits, contact.padded, contact.postal_code_error),
 }
-OTHER_RULE: Rule = (lambda c: clean_text(c, uppercase=False), None)
+OTHER_RULE = Rule(squeeze, lambda c: text_or_mark(c, uppercase=False))
 
 
 def fix_mark(column: str) -> str:
@@ -87,14 +95,15 @@ def cleanse(
     rules = {**RULES, **(rules or {})}
     typed = typed_columns(df, column_types)
     raw = {c: f"_RAW_{c}" for c in typed}
+    chosen = {c: rules.get(t, OTHER_RULE) for c, t in typed.items()}
 
     out = df.withColumns({raw[c]: raw_text(F.col(f"`{c}`")) for c in typed})
-    out = out.withColumns({c: rules.get(t, OTHER_RULE)[0](F.col(f"`{raw[c]}`")) for c, t in typed.items()})
+    out = out.withColumns({c: chosen[c].tidy(F.col(f"`{raw[c]}`")) for c in typed})
+    finishes = {c: r.finish(F.col(f"`{c}`")) for c, r in chosen.items() if r.finish}
+    out = out.withColumns(finishes) if finishes else out
 
     reasons = {
-        f"{c}_ERROR": rules[t][1](F.col(f"`{c}`"))
-        for c, t in typed.items()
-        if t in rules and rules[t][1] is not None
+        f"{c}_ERROR": r.reason(F.col(f"`{c}`")) for c, r in chosen.items() if r.reason is not None
     }
     prefixes = {
         f"_PREFIX_{c}": address.street_type_prefix(F.col(f"`{c}`"))
@@ -133,7 +142,6 @@ def cleanse(
                 address.PART_SUFFIXES, (kind, got["name"], got["number"], got["floor"])
             ):
                 last[c + suffix] = F.when(empty, F.lit("")).otherwise(F.coalesce(value, F.lit("")))
-        last.update(_template_columns(c, shown))
         if marks:
             against = _as_typed(before, t)
             fixed = F.lit(False) if against is None else ~wrong & (against != shown)
@@ -147,7 +155,8 @@ def cleanse(
     base = [(order[c], col) for c, col in zip([c for c in df.columns if c not in typed], untouched)]
     front = [col for _, col in sorted(in_place + base, key=lambda pair: pair[0])]
     keep_raw = [F.col(f"`{raw[c]}`") for c in typed] if marks else []
-    return out.select(*front, *[v.alias(k) for k, v in last.items()], *keep_raw)
+    shown = out.select(*front, *[v.alias(k) for k, v in last.items()], *keep_raw)
+    return apply_template_limits(shown, typed)
 
 
 def _template_limits(column: str) -> tuple[int, bool] | None:
@@ -158,31 +167,26 @@ def _template_limits(column: str) -> tuple[int, bool] | None:
     return min(size for size, _ in found), any(required for _, required in found)
 
 
-def _template_columns(column: str, shown: Column) -> dict[str, Column]:
-    """Cut a value to the template's length and report what the template objects to."""
-    limits = _template_limits(column)
-    if limits is None:
-        return {}
-    size, required = limits
-    value = strip(shown)
-    longer = F.length(value) > size
-    notes = [
-        F.when(
-            longer,
-            F.concat(
-                F.lit("Valor truncado de "), F.length(value).cast("string"),
-                F.lit(f" a {size} caracteres"),
-            ),
-        )
-    ]
-    if required:
-        notes.insert(0, F.when(value.isin("", fv.EMPTY_MARK), F.lit("Campo obligatorio en SAP vacío")))
-    message = F.concat_ws(" | ", *notes)
-    return {
-        column: F.when(longer, F.substring(value, 1, size)).otherwise(shown),
-        f"{column}_SAP_VALID": message == "",
-        f"{column}_SAP_ERROR": message,
-    }
+def apply_template_limits(df: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Cut cleaned values to their template's length and report what the template objects to.
+
+    Cleaned values have no blanks at their ends, so their length is the length that counts."""
+    changed: dict[str, Column] = {}
+    for c in columns:
+        limits = _template_limits(c)
+        if limits is None:
+            continue
+        size, required = limits
+        notes = [
+            f"if(length(`{c}`) > {size}, concat('Valor truncado de ', length(`{c}`), ' a {size} caracteres'), null)"
+        ]
+        if required:
+            notes.insert(0, f"if(`{c}` IN ('', '-'), 'Campo obligatorio en SAP vacío', null)")
+        broken = f"length(`{c}`) > {size}" + (f" OR `{c}` IN ('', '-')" if required else "")
+        changed[f"{c}_SAP_VALID"] = F.expr(f"NOT ({broken})")
+        changed[f"{c}_SAP_ERROR"] = F.expr(f"concat_ws(' | ', {', '.join(notes)})")
+        changed[c] = F.expr(f"substring(`{c}`, 1, {size})")
+    return df.withColumns(changed) if changed else df
 
 
 def drop_marks(df: DataFrame) -> DataFrame:

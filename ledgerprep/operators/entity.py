@@ -6,14 +6,17 @@
    and absorbs all later similar names of its block.
 
 The outcome of 3 is the lexicographically first maximal independent set of the similarity
-graph with every other name assigned to its smallest neighbour in it. It is computed in rounds
-of joins (Blelloch, Fineman, Shun 2012); the driver reads one small figure per round.
+graph with every other name assigned to its smallest neighbour in it. Blocks of bounded size
+are settled by one ordered pass over their edges; for larger ones the set is found in rounds of
+joins (Blelloch, Fineman, Shun 2012), of which the driver reads one small figure each.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -137,12 +140,21 @@ def _block_table(vertices: DataFrame) -> DataFrame:
     )
 
 
-def _split_by_size(vertices: DataFrame, direct_names: int) -> tuple[DataFrame, DataFrame]:
-    blocks = _block_table(vertices).where(F.col("names") > direct_names).drop("names")
-    sized = cut(vertices.join(blocks, "block", "left"))
+def _split_by_size(
+    vertices: DataFrame, direct_names: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Names of blocks up to the bound, and of larger blocks (none if there are no such blocks).
+
+    The driver reads the size of the largest block. The table of large blocks is as long as
+    there are such blocks; Spark picks the join by its measured size."""
+    blocks = _block_table(vertices)
+    largest = blocks.agg(F.max("names")).first()[0]
+    if largest is None or largest <= direct_names:
+        return vertices, None
+    large = blocks.where(F.col("names") > direct_names).drop("names")
     return (
-        sized.where(F.col("shared").isNull()).drop("shared"),
-        sized.where(F.col("shared").isNotNull()),
+        vertices.join(large.select("block"), "block", "left_anti"),
+        cut(vertices.join(large, "block")),
     )
 
 
@@ -153,11 +165,10 @@ def fuzzy_pairs(
     direct_names: int = DIRECT_NAMES,
 ) -> DataFrame:
     """All pairs of collapsed names of one block that reach the threshold, with their score."""
-    vertices = _vertices(names)
-    small, large = _split_by_size(vertices, direct_names)
-    pairs = direct_pairs(small, threshold, scorer).unionByName(
-        segment_pairs(large, large, threshold, scorer)
-    )
+    small, large = _split_by_size(cut(_vertices(names)), direct_names)
+    pairs = direct_pairs(small, threshold, scorer).drop("block")
+    if large is not None:
+        pairs = pairs.unionByName(segment_pairs(large, large, threshold, scorer))
     return pairs.withColumn("score", similarity(F.col("name_a"), F.col("name_b"), scorer))
 
 
@@ -194,9 +205,28 @@ def _assign(edges: DataFrame, absorbed: DataFrame | None) -> DataFrame:
     )
 
 
+def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The greedy rule on edges that arrive block by block, in order of both ends."""
+    block, absorbed = None, set()
+    for edges in batches:
+        kept = []
+        for here, a, b in zip(edges["block"], edges["a"], edges["b"]):
+            if here != block:
+                block, absorbed = here, set()
+            # All edges to a came earlier, so whether it leads is settled by now.
+            kept.append(a not in absorbed and b not in absorbed)
+            if kept[-1]:
+                absorbed.add(b)
+        yield edges[kept]
+
+
 def _cluster_small(small: DataFrame, threshold: float, scorer: str) -> DataFrame:
-    edges = cut(direct_pairs(small, threshold, scorer))
-    return _assign(edges, absorbed_by_rounds(edges.select("a", "b")))
+    """Clusters of blocks of bounded size: the edges of a block, at most half the square of the
+    bound, are put in order in one partition and read once."""
+    edges = direct_pairs(small, threshold, scorer)
+    sorted_edges = edges.repartition("block").sortWithinPartitions("block", "a", "b")
+    taken = sorted_edges.mapInPandas(_greedy, edges.schema)
+    return taken.select(F.col("b").alias("vid"), F.col("a").alias("leader"), "name_a", "name_b")
 
 
 def _cluster_large(
@@ -240,10 +270,10 @@ def leader_clusters(
     direct_names: int = DIRECT_NAMES,
 ) -> DataFrame:
     """Collapsed names with the name row that leads them (``leader``) and the score to it."""
-    vertices = _vertices(names)
+    vertices = cut(_vertices(names))
     small, large = _split_by_size(vertices, direct_names)
     parts = [_cluster_small(small, threshold, scorer)]
-    if not large.isEmpty():
+    if large is not None:
         parts += _cluster_large(large, threshold, scorer, direct_names)
     taken = reduce(DataFrame.unionByName, parts)
     scored = taken.select(
@@ -286,8 +316,7 @@ def find_duplicates(
     keyed = cut(
         exact_key_groups(matching_rows(df, row_id, name, tax_id, postal, province, blocking))
     )
-    names = cut(collapse_names(keyed))
-    clusters = leader_clusters(names, threshold, scorer, direct_names)
+    clusters = leader_clusters(collapse_names(keyed), threshold, scorer, direct_names)
     first = F.col("row_id") == F.col("key_rep")
     columns = ["row_id", "value", "rep", "leader", "score"]
     named = keyed.where(first & F.col("name_key").isNotNull()).join(

@@ -111,7 +111,7 @@ def judge(df: DataFrame, options: Options) -> DataFrame:
 
 def presented(marked: DataFrame) -> DataFrame:
     """Rows without the helper columns KPIs are counted from."""
-    return cleansing.drop_marks(marked).drop(industrial.ERRORS, industrial.WARNINGS, "_WRONG_BANK")
+    return cleansing.drop_marks(marked).drop(*industrial.HELPERS)
 
 
 def run_kpis(marked: DataFrame, column_types: Mapping[str, str]) -> DataFrame:

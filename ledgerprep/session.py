@@ -23,6 +23,19 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+# Wide projections of this library make generated methods the JVM would not compile at all
+# above this size; Spark then generates them in smaller pieces.
+TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+
+
+def tune(spark: SparkSession) -> SparkSession:
+    """Set what the plans of this library run best with, where the session says nothing else."""
+    for key, value in TUNING.items():
+        if key not in dict(spark.sparkContext.getConf().getAll()):
+            spark.conf.set(key, value)
+    return spark
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 

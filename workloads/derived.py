@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerprep.session import tune
+
 AS_OF = "2001-12-01"
 
 _NIF = "substring('TRWAGMYFPDXBNJZSQVHLCKE', cast((c_custkey * 7919 + 12345) % 23 + 1 as int), 1)"
@@ -23,6 +25,8 @@ SQL = {
           CASE WHEN c_custkey % 29 = 0 THEN NULL WHEN c_custkey % 17 = 0 THEN ' n/a '
                WHEN c_custkey % 11 = 0 THEN '  ' || lower(c_name) || '   s.l. '
                WHEN c_custkey % 31 = 0 THEN c_name || ' ' || c_name || ' ' || c_name || ' ' || c_name || ' ' || c_name
+               WHEN c_custkey % 3 = 0 THEN 'Firma ' || cast(cast(floor(c_custkey / 12) as bigint) as string)
+                 || CASE WHEN c_custkey % 2 = 0 THEN ' S.A.' ELSE ', s.l.' END
                ELSE c_name || '  ' || c_mktsegment END AS NAME,
           CASE WHEN c_custkey % 14 = 0 THEN {_EIGHT} || 'A'
                WHEN c_custkey % 14 = 1 THEN lower({_EIGHT} || '-' || {_NIF})
@@ -171,7 +175,7 @@ GIVEN = ["customer", "part", "orders", "lineitem", "supplier", "documents", "eve
 
 
 def given(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return tune(spark).read.parquet(f"{folder}/{name}.parquet")
 
 
 def derive(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -262,8 +262,8 @@ def date_parse(spark, folder):
 
 
 def number_parse(spark, folder):
-    number = parse_number(F.col("NET_WEIGHT"))
-    return derive(spark, folder, "material").select("row_id", number.alias("value"), number_text(number).alias("text"))
+    rows = derive(spark, folder, "material").select("row_id", parse_number(F.col("NET_WEIGHT")).alias("value"))
+    return rows.withColumn("text", F.expr(number_text("value")))
 
 
 def unreadable_dates(spark, folder):
