@@ -3,36 +3,46 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerprep.functions.text import strip
 
 _DIGITS = r"\d+(_\d+)*"
-_NUMBER = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
-_INFINITY = r"^[+-]?(inf|infinity)$"
+_GROUPED = rf"^[+-]?({_DIGITS}(\.({_DIGITS})?)?|\.{_DIGITS})([eE][+-]?{_DIGITS})?$"
+_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+_INFINITE = ["inf", "+inf", "-inf", "infinity", "+infinity", "-infinity"]
 
 
 def parse_plain_number(text: Column) -> Column:
     """Double of a text without blanks around it and with a decimal point, else null.
 
-    The grammar is checked first: a cast alone would also take ``1.0d``. Not-a-number reads
-    as missing."""
-    return F.when(
-        text.rlike(_NUMBER) | F.lower(text).rlike(_INFINITY),
-        F.translate(text, "_", "").try_cast("double"),
+    The grammar is checked first: a cast alone would also take ``1.0d``, and a failed cast
+    costs far more than a failed match. Not-a-number reads as missing."""
+    return (
+        F.when(text.rlike(_NUMBER), text.try_cast("double"))
+        .when(text.contains("_") & text.rlike(_GROUPED), F.translate(text, "_", "").try_cast("double"))
+        .when(F.lower(text).isin(_INFINITE), text.try_cast("double"))
     )
 
 
+def _plain_first(cell: Column, otherwise: Column) -> Column:
+    """Cells that hold nothing but a number skip all preparation."""
+    return F.when(cell.rlike(_NUMBER), cell.try_cast("double")).otherwise(otherwise)
+
+
 def parse_number(c: Column) -> Column:
     """Number in a cell: blanks are dropped and a decimal comma is a point."""
-    return parse_plain_number(F.translate(strip(c.cast("string")), ", ", "."))
+    cell = c.cast("string")
+    return _plain_first(cell, parse_plain_number(F.translate(strip(cell), ", ", ".")))
 
 
 def parse_strict_number(c: Column) -> Column:
     """Number in a cell that must already be written with a decimal point."""
-    return parse_plain_number(strip(c.cast("string")))
+    cell = c.cast("string")
+    return _plain_first(cell, parse_plain_number(strip(cell)))
 
 
 def number_text(name: str) -> str:
@@ -48,35 +58,68 @@ def number_text(name: str) -> str:
         || if(length({exponent}) < 2, lpad({exponent}, 2, '0'), {exponent}) END"""
 
 
-# Shape of a text -> pattern it is read with, in the order of preference. The first five are
-# the agreed formats; the others stand in for a lenient reader. A text is matched against its
-# shape before it is parsed, so that the parser is not run in vain on every row.
-DATE_FORMATS = [
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$", "yyyy-M-d'T'H:m:s"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}$", "yyyy-M-d H:m"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{2}:\d{2}$", "yyyy-M-d H:m:s"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}[ T]\d{2}:\d{2}:\d{2}\.\d{1,6}$", "yyyy-M-d['T'][ ]HH:mm:ss[.SSSSSS][.SSS]"),
-    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
-    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
-]
-
-
-def parse_date(c: Column) -> Column:
-    """Timestamp of a date written in one of ``DATE_FORMATS``, else null."""
-    text = strip(c.cast("string"))
-    tries = [
-        F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
-        for shape, pattern in DATE_FORMATS
-    ]
-    return F.coalesce(*tries)
+def _shapes(*patterns: str) -> list[str]:
+    """Shapes (digits as 0) of patterns in which ``?`` stands for one or two digits."""
+    done, todo = [], list(patterns)
+    while todo:
+        pattern = todo.pop()
+        if "?" in pattern:
+            todo += [pattern.replace("?", "0", 1), pattern.replace("?", "00", 1)]
+        else:
+            done.append(pattern)
+    return sorted(done)
+
+
+# The agreed formats: year first with - (and a time after T), day first with points or slashes,
+# eight digits. The others stand in for a lenient reader: month first where the day is not,
+# year first with slashes, a time after a blank.
+DATE_SHAPES = _shapes(
+    "0000-?-?", "0000-?-?T?:?:?", "?.?.0000", "00000000", "?/?/0000", "0000/?/?", "?-?-0000",
+    "0000-?-? ?:00", "0000-?-? ?:00:00",
+)
+_LIST = ", ".join(f"'{s}'" for s in DATE_SHAPES)
+_TIME = "coalesce(int(get({p}, 3)), 0), coalesce(int(get({p}, 4)), 0), coalesce(int(get({p}, 5)), 0)"
+
+
+def with_dates(df: DataFrame, dates: Mapping[str, Column]) -> DataFrame:
+    """Add columns of timestamps read from texts, null where a text is no date.
+
+    A text is first reduced to its shape; only texts of a known shape are cut into parts. Each
+    step has a projection of its own, so that it is computed once."""
+    kept = df.columns
+    out = df.withColumns({f"_T_{n}": strip(c.cast("string")) for n, c in dates.items()})
+    out = out.withColumns(
+        {
+            f"_S_{n}": F.expr(f"if(length(`_T_{n}`) BETWEEN 8 AND 19, translate(`_T_{n}`, '123456789', '000000000'), null)")
+            for n in dates
+        }
+    )
+    out = out.withColumns(
+        {
+            f"_P_{n}": F.expr(f"if(`_S_{n}` IN ({_LIST}), split(translate(`_T_{n}`, '-/.T:', '     '), ' '), null)")
+            for n in dates
+        }
+    )
+
+    def read(n: str) -> Column:
+        t, s, p = f"`_T_{n}`", f"`_S_{n}`", f"`_P_{n}`"
+        day_first = f"try_make_timestamp(int({p}[2]), int({p}[1]), int({p}[0]), 0, 0, 0)"
+        month_first = f"try_make_timestamp(int({p}[2]), int({p}[0]), int({p}[1]), 0, 0, 0)"
+        return F.expr(
+            f"""CASE WHEN {p} IS NULL THEN CASE
+                  WHEN {s} RLIKE '^0{{1,2}} [A-Za-z]{{3}} 0000$' THEN try_to_timestamp({t}, 'd MMM yyyy')
+                  WHEN {s} RLIKE '^[A-Za-z]{{3}} 0{{1,2}}, 0000$' THEN try_to_timestamp({t}, 'MMM d, yyyy') END
+                WHEN size({p}) = 1 THEN try_make_timestamp(
+                  int(substring({t}, 1, 4)), int(substring({t}, 5, 2)), int(substring({t}, 7, 2)), 0, 0, 0)
+                WHEN length({p}[0]) = 4 THEN try_make_timestamp(
+                  int({p}[0]), int({p}[1]), int({p}[2]), {_TIME.format(p=p)})
+                WHEN contains({s}, '-') THEN coalesce({month_first}, {day_first})
+                WHEN contains({s}, '/') THEN coalesce({day_first}, {month_first})
+                ELSE {day_first} END"""
+        )
+
+    out = out.withColumns({n: read(n) for n in dates})
+    return out.select(*[F.col(f"`{c}`") for c in [*kept, *[n for n in dates if n not in kept]]])
 
 
 def _shifted(day: Column, months: Column) -> Column:

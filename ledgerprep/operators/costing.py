@@ -21,6 +21,12 @@ def _or_zero(c: Column) -> Column:
     return F.coalesce(parse_number(c), F.lit(0.0))
 
 
+def _null_as_key(column: str) -> Column:
+    """The key with null as a value of its own, so that grouping and joining on it share one
+    partitioning (a null-safe comparison would shuffle again)."""
+    return F.coalesce(F.col(column).cast("string"), F.lit("\0"))
+
+
 def usable(df: DataFrame | None, needs: set[str]) -> bool:
     return df is not None and needs <= set(df.columns)
 
@@ -38,13 +44,14 @@ def _priced_components(bom: DataFrame, master: DataFrame) -> DataFrame:
     execution splits."""
     prices = (
         material_prices(master)
-        .groupBy("MATERIAL")
+        .groupBy(_null_as_key("MATERIAL").alias("_KEY"))
         .agg(F.sum("PRICE").alias("COMP_PRICE"), F.min(F.abs("PRICE")).alias("_LOWEST"))
     )
-    lines = bom.select("MATERIAL_PARENT", "COMPONENT", _or_zero(F.col("QUANTITY")).alias("QUANTITY"))
-    return lines.join(
-        prices, lines["COMPONENT"].eqNullSafe(prices["MATERIAL"]), "left"
-    ).select(
+    lines = bom.select(
+        "MATERIAL_PARENT", "COMPONENT", _null_as_key("COMPONENT").alias("_KEY"),
+        _or_zero(F.col("QUANTITY")).alias("QUANTITY"),
+    )
+    return lines.join(prices, "_KEY", "left").select(
         "MATERIAL_PARENT",
         "COMPONENT",
         "QUANTITY",
@@ -128,7 +135,8 @@ def standard_cost(
             .agg(F.sum("BOM_LINE").alias("COST_BOM"), F.sum("ROUTING_LINE").alias("COST_ROUTING"))
             .withColumnRenamed("MATERIAL", "_MADE")
         )
-        joined = costs.join(loaded, costs["_MADE"].eqNullSafe(loaded["MATERIAL"]), "full")
+        # No made material is null, so a null of the master stays a row of its own.
+        joined = costs.join(loaded, costs["_MADE"] == loaded["MATERIAL"], "full")
         material = F.coalesce("_MADE", "MATERIAL")
     else:
         joined = loaded.withColumns(

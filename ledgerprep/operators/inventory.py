@@ -9,9 +9,9 @@ from ledgerprep import fixed_values as fv
 from ledgerprep.functions.numbers import (
     as_timestamp,
     months_before,
-    parse_date,
     parse_number,
     whole_months,
+    with_dates,
 )
 from ledgerprep.functions.text import strip
 from ledgerprep.operators.ordered import SLICE, place, running_sum
@@ -50,7 +50,7 @@ def obsolete_stock(df: DataFrame, as_of, months: int = OBSOLETE_MONTHS) -> DataF
         return _none(df).withColumn("MONTHS_INACTIVE", F.lit(None).cast("int"))
     now = as_timestamp(as_of)
     return (
-        df.withColumn("_MOVED", parse_date(F.col("LAST_MOVEMENT_DATE")))
+        with_dates(df, {"_MOVED": F.col("LAST_MOVEMENT_DATE")})
         .where(F.col("_MOVED") < months_before(now, months))
         .withColumn("MONTHS_INACTIVE", whole_months(F.col("_MOVED"), now))
         .drop("_MOVED")
@@ -60,8 +60,8 @@ def obsolete_stock(df: DataFrame, as_of, months: int = OBSOLETE_MONTHS) -> DataF
 def unreadable_dates(df: DataFrame) -> DataFrame:
     """One row: how many cells hold a text that is no date."""
     cell = F.col("LAST_MOVEMENT_DATE").cast("string")
-    bad = cell.isNotNull() & (strip(cell) != "") & parse_date(cell).isNull()
-    return df.agg(F.count_if(bad).alias("unreadable_dates"))
+    bad = cell.isNotNull() & (strip(cell) != "") & F.col("_MOVED").isNull()
+    return with_dates(df, {"_MOVED": cell}).agg(F.count_if(bad).alias("unreadable_dates"))
 
 
 def judge_prices(df: DataFrame, threshold_pct: float = PRICE_THRESHOLD_PCT) -> DataFrame:
@@ -210,11 +210,12 @@ def health_kpis(
     never = F.lit(False)
     negative = _is_negative(enriched)
     obsolete = never
-    if "LAST_MOVEMENT_DATE" in enriched.columns:
-        obsolete = parse_date(F.col("LAST_MOVEMENT_DATE")) < months_before(as_timestamp(as_of), months)
     judged, discrepant = enriched, never
+    if "LAST_MOVEMENT_DATE" in enriched.columns:
+        judged = with_dates(judged, {"_MOVED": F.col("LAST_MOVEMENT_DATE")})
+        obsolete = F.col("_MOVED") < months_before(as_timestamp(as_of), months)
     if has_prices(enriched):
-        judged = judge_prices(enriched, threshold_pct)
+        judged = judge_prices(judged, threshold_pct)
         discrepant = F.col("PRICE_DISC_STATUS").isin("WARNING", "ERROR")
     letters = F.col("ABC_CLASS") if "ABC_CLASS" in enriched.columns else F.lit(None).cast("string")
     return judged.agg(

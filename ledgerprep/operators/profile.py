@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerprep.functions.numbers import parse_date, parse_strict_number
+from ledgerprep.functions.numbers import parse_strict_number, with_dates
 from ledgerprep.functions.text import strip
 
 
@@ -17,53 +19,76 @@ def _empty(cell: Column) -> Column:
     return cell.isNull() | (strip(cell) == "") | (cell == "nan")
 
 
-def _empty_entry(name: str) -> list[Column]:
-    empties, total = F.count_if(_empty(_cell(name))), F.count(F.lit(1))
+# Bits of what a cell could be; a column is what all its filled cells could be.
+_INTEGER, _NUMBER, _DATE, _NO_LEADING_ZERO = 1, 2, 4, 8
+
+
+def _possibilities(df: DataFrame) -> DataFrame:
+    """Bits of each filled cell, null for an empty one, in columns ``_0``, ``_1`` ..."""
+    count = range(len(df.columns))
+    texts = df.select(*[_cell(c).alias(f"c{i}") for i, c in enumerate(df.columns)])
+    texts = with_dates(texts, {f"d{i}": F.col(f"c{i}") for i in count})
+    texts = texts.withColumns({f"n{i}": parse_strict_number(F.col(f"c{i}")) for i in count})
+
+    def bits(i: int) -> Column:
+        return F.expr(
+            f"""CASE WHEN n{i} = floor(n{i}) THEN {_INTEGER + _NUMBER} WHEN n{i} IS NOT NULL THEN {_NUMBER} ELSE 0 END
+              + if(d{i} IS NOT NULL, {_DATE}, 0) + if(c{i} LIKE '0_%', 0, {_NO_LEADING_ZERO})"""
+        )
+
+    return texts.select(*[F.when(~_empty(F.col(f"c{i}")), bits(i)).alias(f"_{i}") for i in count])
+
+
+def _filled(df: DataFrame) -> DataFrame:
+    """1 for each filled cell, null for an empty one, in columns ``_0``, ``_1`` ..."""
+    return df.select(*[F.when(~_empty(_cell(c)), 1).alias(f"_{i}") for i, c in enumerate(df.columns)])
+
+
+def _empties(cells: Column) -> list[Column]:
+    total = F.count(F.lit(1))
+    empties = total - F.count(cells)
     percent = F.when(total > 0, F.round(empties / total * 100, 2)).otherwise(0.0)
-    return [F.lit(name).alias("column"), empties.alias("null_count"), percent.alias("null_percentage")]
+    return [empties.alias("null_count"), percent.alias("null_percentage")]
 
 
-def _type_of(name: str) -> Column:
-    """Type all filled cells agree on, from flags that are false as soon as one cell differs."""
-    cell = _cell(name)
-    number = parse_strict_number(cell)
-    filled = ~_empty(cell)
+def _type(bits: Column) -> Column:
+    common = F.bit_and(bits)
 
-    def every(condition: Column) -> Column:
-        return F.bool_and(F.when(filled, F.coalesce(condition, F.lit(False))))
+    def has(flag: int) -> Column:
+        return common.bitwiseAND(F.lit(flag)) > 0
 
-    is_number = number.isNotNull()
-    leading_zero = F.bool_or(filled & cell.startswith("0") & (F.length(cell) > 1))
     return (
-        F.when(F.count_if(filled) == 0, "empty")
-        .when(every(is_number) & leading_zero, "numeric_str (leads 0)")
-        .when(every(is_number & (number == F.floor(number))), "integer")
-        .when(every(is_number), "decimal")
-        .when(every(parse_date(cell).isNotNull()), "datetime")
+        F.when(common.isNull(), "empty")
+        .when(has(_NUMBER) & ~has(_NO_LEADING_ZERO), "numeric_str (leads 0)")
+        .when(has(_INTEGER), "integer")
+        .when(has(_NUMBER), "decimal")
+        .when(has(_DATE), "datetime")
         .otherwise("text")
+        .alias("inferred_type")
     )
 
 
-def _long(df: DataFrame, entries: list[list[Column]]) -> DataFrame:
-    """Per-column aggregates of one scan as one row per column."""
-    return df.agg(F.array(*[F.struct(*e) for e in entries]).alias("all")).select(F.inline("all"))
+def _long(
+    cells: DataFrame, columns: list[str], entries: Callable[[Column], list[Column]]
+) -> DataFrame:
+    """Aggregates over reduced cells, all from one scan, as one row per column."""
+    rows = [F.struct(F.lit(c).alias("column"), *entries(F.col(f"_{i}"))) for i, c in enumerate(columns)]
+    return cells.agg(F.array(*rows).alias("all")).select(F.inline("all"))
 
 
 def null_profile(df: DataFrame) -> DataFrame:
     """Empty cells per column, as a count and in percent."""
-    return _long(df, [_empty_entry(c) for c in df.columns])
+    return _long(_filled(df), df.columns, _empties)
 
 
 def type_profile(df: DataFrame) -> DataFrame:
     """Type the filled cells of each column have in common."""
-    return _long(
-        df, [[F.lit(c).alias("column"), _type_of(c).alias("inferred_type")] for c in df.columns]
-    )
+    return _long(_possibilities(df), df.columns, lambda bits: [_type(bits)])
 
 
 def column_profile(df: DataFrame) -> DataFrame:
     """Empty cells and type per column, in one scan."""
-    return _long(df, [[*_empty_entry(c), _type_of(c).alias("inferred_type")] for c in df.columns])
+    return _long(_possibilities(df), df.columns, lambda bits: [*_empties(bits), _type(bits)])
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerprep import fixed_values as fv
-from ledgerprep.functions.numbers import number_text, parse_date, parse_number
+from ledgerprep.functions.numbers import number_text, parse_number, with_dates
 from ledgerprep.operators import costing, industrial, inventory, readiness
 from workloads import oracle_rules as rules
 from workloads.derived import AS_OF, derive, duckdb
@@ -257,8 +257,8 @@ DATED = f"dated AS (SELECT *, {_DATES} AS d FROM ({duckdb('stock')}))"
 
 
 def date_parse(spark, folder):
-    stock = derive(spark, folder, "stock")
-    return stock.select("row_id", F.date_format(parse_date(F.col("LAST_MOVEMENT_DATE")), "yyyy-MM-dd HH:mm:ss").alias("moved"))
+    stock = with_dates(derive(spark, folder, "stock"), {"d": F.col("LAST_MOVEMENT_DATE")})
+    return stock.select("row_id", F.date_format("d", "yyyy-MM-dd HH:mm:ss").alias("moved"))
 
 
 def number_parse(spark, folder):
