@@ -147,7 +147,7 @@ def probe_keys(names: DataFrame, threshold: float, scorer: str) -> DataFrame:
     text = F.when(F.col("count") == 0, "").otherwise(
         F.substr("name", F.col("shared") + F.col("start") + 1, F.col("width"))
     )
-    return out.select("block", "longer", "number", text.alias("segment"), "vid", "name", "size").distinct()
+    return out.select("block", "longer", "number", text.alias("segment"), "vid", "name", "size")
 
 
 def _segment_join(

@@ -14,7 +14,7 @@ from ledgerprep.functions.numbers import (
     with_dates,
 )
 from ledgerprep.functions.text import strip
-from ledgerprep.operators.ordered import SLICE, place, running_sum
+from ledgerprep.operators.ordered import place, running_sum
 
 STOCK_COLUMNS = ("UNRESTRICTED_STOCK", "BLOCKED_STOCK", "QUALITY_STOCK")
 OBSOLETE_MONTHS = 24
@@ -109,28 +109,29 @@ def classify_abc(
 ) -> DataFrame:
     """Add ``ABC_CLASS`` by the running share of the total value, largest value first.
 
-    ``key`` identifies a row and orders equal values. The running share is a distributed
+    ``key`` identifies a row (no nulls) and orders equal values. The running share is a distributed
     running sum over exact decimals, so it does not depend on the order of addition. The first
     row is A even if it alone exceeds the limit.
     """
     amount = F.coalesce(parse_number(F.col(value_column)), F.lit(0.0)).cast(_VALUE_TYPE)
     order = [F.desc("_AMOUNT"), F.asc(key)]
-    placed = place(df.withColumn("_AMOUNT", amount), order)
+    # Only the key and the amount are put in order; the table itself is joined once.
+    placed = place(df.select(key, amount.alias("_AMOUNT")), order)
     # One row read by the driver: the total, and the first row of the order.
+    first = F.struct(F.col("_AMOUNT").cast("double").alias("a"), F.col(key).alias("k"))
     whole = placed.agg(
         F.sum("_AMOUNT").cast("double").alias("total"),
-        F.min_by(F.struct(F.col("_AMOUNT").cast("double").alias("a"), F.col(key).alias("k")),
-                 F.struct(-F.col("_AMOUNT"), F.col(key))).alias("top"),
+        F.min_by(first, F.struct(-F.col("_AMOUNT"), F.col(key))).alias("top"),
     ).first()
     if not whole["total"]:
-        return placed.withColumn("ABC_CLASS", F.lit("C")).drop("_AMOUNT", SLICE)
+        return df.withColumn("ABC_CLASS", F.lit("C"))
     ranked = running_sum(placed, F.col("_AMOUNT"), order, "_CUMULATED")
     share = F.col("_CUMULATED").cast("double") / F.lit(whole["total"]) * 100.0
     letter = F.when(share <= 80.0, "A").when(share <= 95.0, "B").otherwise("C")
     top = whole["top"]
     if top["a"] / whole["total"] * 100.0 > 80.0 and ranked.where(share <= 80.0).isEmpty():
-        letter = F.when(F.col(key).eqNullSafe(F.lit(top["k"])), "A").otherwise(letter)
-    return ranked.withColumn("ABC_CLASS", letter).drop("_AMOUNT", "_CUMULATED")
+        letter = F.when(F.col(key) == F.lit(top["k"]), "A").otherwise(letter)
+    return df.join(ranked.select(key, letter.alias("ABC_CLASS")), key)
 
 
 def abc_summary(classified: DataFrame, value_column: str = "TOTAL_VALUE") -> DataFrame:

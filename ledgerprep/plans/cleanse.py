@@ -220,8 +220,10 @@ def measured(result: RunResult, started: float) -> dict:
 
 def dry_run(df: DataFrame, options: Options, rows: int = 5) -> DataFrame:
     """Before and after of the typed columns of the first rows, with the fate of each row."""
-    numbered = with_row_id(df, options.row_id)
-    sample = numbered.orderBy(ROW_ID).limit(rows)
+    if options.row_id is None:
+        sample = with_row_id(df.limit(rows), None)
+    else:
+        sample = with_row_id(df, options.row_id).orderBy(ROW_ID).limit(rows)
     plain = Options(**{**options.__dict__, "keep_unmapped": True})
     typed = list(options.column_types)
     before = {f"_BEFORE_{i}": F.col(f"`{c}`") for i, c in enumerate(typed) if c in df.columns}

@@ -169,7 +169,7 @@ def expected_clusters(names, threshold, scorer, prefix):
 )
 def test_clusters_equal_the_greedy_loop(table, seed, threshold, scorer, blocking, prefix, limit):
     """``limit`` 8 and 16 send the blocks through the windowed path for large blocks."""
-    names = list(dict.fromkeys(random_names(seed, 160)))
+    names = list(dict.fromkeys(random_names(seed, 90)))
     df = table({"N": names})
     clean = [r[0] for r in df.orderBy("row_id").select(strip_legal_form(F.col("N"))).collect()]
     keyed = entity.exact_key_groups(entity.matching_rows(df, "row_id", "N", blocking=blocking))
