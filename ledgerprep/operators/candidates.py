@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ledgerprep.functions.similarity import distance_budget, lcs_length, reaches
 
 DIRECT_NAMES = 1000
+SALTS = 64
 
 
 def _admissible(a: str, b: str, threshold: float) -> list[Column]:
@@ -77,6 +78,26 @@ def direct_pairs(names: DataFrame, threshold: float, scorer: str) -> DataFrame:
     return confirm(pairs, threshold, scorer)
 
 
+def salted_pairs(few: DataFrame, many: DataFrame, threshold: float, scorer: str) -> DataFrame:
+    """Pairs of a bounded number of names per block with any number of later ones.
+
+    The many are spread over ``SALTS`` parts of their block and the few are copied to each, so a
+    block that holds much of the table is worked on by many tasks."""
+    left = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    right = many.withColumn("salt", F.pmod(F.hash("vid"), F.lit(SALTS)))
+    met = left.alias("l").join(
+        right.alias("r"),
+        [
+            F.col("l.block") == F.col("r.block"),
+            F.col("l.salt") == F.col("r.salt"),
+            F.col("l.vid") < F.col("r.vid"),
+            *_admissible("l", "r", threshold),
+            _close(F.col("l.name"), F.col("r.name"), threshold),
+        ],
+    )
+    return confirm(met.select(*_pair_columns("l", "r")), threshold, scorer)
+
+
 def _segment_count(size: Column, shared: Column, threshold: float) -> Column:
     """D(n) + 1 segments, or one empty segment where the name is too short to be cut so."""
     wanted = distance_budget(size * 2, threshold) + 1

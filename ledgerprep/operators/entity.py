@@ -22,12 +22,13 @@ from pyspark.sql import functions as F
 
 from ledgerprep.functions.similarity import similarity
 from ledgerprep.functions.text import is_blank, matching_tax_key, strip, strip_legal_form
-from ledgerprep.operators.candidates import DIRECT_NAMES, direct_pairs, segment_pairs
+from ledgerprep.operators.candidates import DIRECT_NAMES, direct_pairs, salted_pairs, segment_pairs
 from ledgerprep.operators.ordered import place, running_sum
 from ledgerprep.session import cut
 
 BLOCKING = ("none", "first_char", "first_3_chars", "postal_code_2", "province")
 THRESHOLD = 85.0
+FIRST_WINDOW = 128
 _EMPTY_BLOCK = "_empty_"
 
 
@@ -230,37 +231,41 @@ def _cluster_small(small: DataFrame, threshold: float, scorer: str) -> DataFrame
 
 
 def _cluster_large(
-    large: DataFrame, threshold: float, scorer: str, first_window: int
+    large: DataFrame, threshold: float, scorer: str, direct_names: int
 ) -> list[DataFrame]:
     """Clusters of large blocks without the full edge table.
 
     The names of a block are taken in windows of their order. Within a window the leaders are
     found from its own edges; they then absorb every later name that is similar, in one join.
     A block of near copies is thus done after its first window, and the number of edges held at
-    a time stays near the number of names. Windows double while edges are few and shrink when
-    they are many; each leaves fewer names to look at."""
+    a time stays near the number of names. Windows grow while edges are few and shrink when
+    they are many; each leaves fewer names to look at. A window of bounded size is compared
+    directly, as the work per name is constant; a larger one by segments."""
     order = [F.asc("vid")]
     placed = place(large, order, by=["block"])
     left = cut(running_sum(placed, F.lit(1), order, "pos", by=["block"]))
     done: list[DataFrame] = []
-    width = first_window
+    width = first_window = min(direct_names, FIRST_WINDOW)
     while True:
         start = left.agg(F.min("pos")).first()[0]
         if start is None:
             return done
         window = left.where(F.col("pos") < start + width)
         later = left.where(F.col("pos") >= start + width)
-        edges = cut(segment_pairs(window, window, threshold, scorer))
-        absorbed = absorbed_by_rounds(edges.select("a", "b"))
-        leaders = window
-        if absorbed is not None:
-            done.append(_assign(edges, absorbed))
-            leaders = window.join(absorbed.withColumnRenamed("v", "vid"), "vid", "left_anti")
-        hits = cut(_assign(segment_pairs(leaders, later, threshold, scorer), None))
+        bounded, dense = width <= direct_names, False
+        if bounded:
+            taken = cut(_cluster_small(window, threshold, scorer))
+        else:
+            edges = cut(segment_pairs(window, window, threshold, scorer))
+            taken = cut(_assign(edges, absorbed_by_rounds(edges.select("a", "b"))))
+            dense = edges.count() > 4 * window.count()
+        done.append(taken)
+        leaders = window.join(taken.select("vid"), "vid", "left_anti")
+        meet = salted_pairs if bounded else segment_pairs
+        hits = cut(_assign(meet(leaders, later, threshold, scorer), None))
         done.append(hits)
         left = cut(later.join(hits.select("vid"), "vid", "left_anti"))
-        dense = edges.count() > 4 * window.count()
-        width = max(first_window, width // 4) if dense else width * 2
+        width = max(first_window, width // 4) if dense else width * 4
 
 
 def leader_clusters(
