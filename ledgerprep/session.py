@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -36,6 +37,39 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+class Scratch:
+    """Intermediate tables of one run, in a folder of its own below the shared folder.
+
+    ``drop`` deletes the folder through Hadoop's file system, so it works for any store. What a
+    lazy result still reads must stay until the result is written; a scratch that nobody drops
+    goes when the driver ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        self._count = 0
+        atexit.register(self.drop)
+
+    def path(self) -> str:
+        self._count += 1
+        return f"{self.folder}/{self._count:04d}"
+
+    def keep(self, df: DataFrame, codec: str = "snappy") -> DataFrame:
+        """Write ``df`` once and go on from the written table."""
+        path = self.path()
+        df.write.option("compression", codec).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        atexit.unregister(self.drop)
+        try:
+            jvm = self.spark.sparkContext._jvm
+            path = jvm.org.apache.hadoop.fs.Path(self.folder)
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        except Exception:  # noqa: BLE001  the session has ended before
+            pass
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
