@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from ledgerprep.llm import q_decontaminate, q_repeats
+from ledgerprep.llm import q_decontaminate, q_mixing, q_repeats, q_topk
 
-_MODULES = (q_repeats, q_decontaminate)
+_MODULES = (q_repeats, q_decontaminate, q_mixing, q_topk)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
