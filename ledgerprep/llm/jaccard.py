@@ -366,11 +366,30 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80
     root = F.coalesce("root", "node")
     least = sets.join(joined, "node", "left").groupBy(root.alias("root")).agg(F.min("doc_id").alias("component_id"))
     named = sets.select("node").join(joined, "node", "left").select("node", root.alias("root")).join(least, "root")
-    return rows.join(named.select("node", "component_id"), "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    return rows.join(named.select("node", "root", "component_id"), "node", "left").select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "text_key", F.col("root").alias("component"),
     )
 
 
+def one_of_each(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of ``docs``, of each component only that of the smallest doc_id (then of the smallest
+    text hash, and one of repeated rows); rows without shingles all stay."""
+    found = scratch.keep(near_duplicates(docs, scratch, k, num, den).select("doc_id", "text_key", "component"))
+    known = found.filter("component IS NOT NULL").groupBy("component", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("times"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "times")
+    first = known.groupBy("component").agg(F.min(order).alias("r")).select("r.doc_id", "r.text_key", (F.col("r.times") > 1).alias("again"))
+    bare = found.filter("component IS NULL").select("doc_id", "text_key", F.lit(False).alias("again")).distinct()
+    stay = scratch.keep(first.unionByName(bare))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("d"), F.xxhash64(F.col("text").cast("string")).alias("t"))
+    kept = rows.join(stay, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_key")))
+    if not stay.filter("again").take(1):
+        return kept.select("row.*")
+    one = kept.filter("again").groupBy("d", "t").agg(F.first("row").alias("row"))
+    return kept.filter("NOT again").select("row").unionByName(one.select("row")).select("row.*")
+
+
 def _texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """node and one text of it; the texts are read again, because the sets of all rows are larger."""
     wanted = sets.select("node", F.col("source.doc_id").alias("id"), F.col("source.text_key").alias("key"))
