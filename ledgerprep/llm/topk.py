@@ -74,7 +74,7 @@ def top_k(vectors: DataFrame, is_query: Column, scratch: Scratch, k: int = 20, s
     rows, asked = packed.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1))).first()
     shards, blocks = max(1, -(-rows // shard)), max(1, -(-asked // block))
     key = F.xxhash64("vec_id", F.lit(5))
-    queries = packed.filter(is_query).select(
+    queries = packed.filter(is_query).dropDuplicates(["vec_id", "vector_key"]).select(
         "dim", F.pmod(key, F.lit(blocks)).alias("block"), _each(shards).alias("shard"),
         "vec_id", "vector_key", "wide", "vector",
     )
