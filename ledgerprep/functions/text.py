@@ -53,17 +53,23 @@ def is_blank(c: Column) -> Column:
     return c.isNull() | strip(c.cast("string")).isin(fv.BLANK_TOKENS)
 
 
-def _legal_form_pattern() -> str:
-    dotted = [r"\s*\.?\s*".join(letters) + r"\s*\.?" for letters in fv.LEGAL_FORM_LETTERS]
-    spelled = [r"\s+".join(words) for words in fv.LEGAL_FORM_WORDS]
-    return "(?U)\\b(" + "|".join(dotted + spelled) + ")\\s*$"
+# The last one, two or three words of a name, where blanks or a dot part words.
+_LAST_WORDS = {n: rf"(?U)\b\w+(?:(?:\s+\.?\s*|\.\s*)\w+){{{n - 1}}}\s*\.?\s*$" for n in (3, 2, 1)}
 
 
 def strip_legal_form(c: Column) -> Column:
-    """Company name in upper case without its legal form and without edge punctuation."""
+    """Company name in upper case without its legal form and without edge punctuation.
+
+    The longest end of up to three words that is a legal form goes: without dots and blanks it is
+    an abbreviation, or with single blanks a form spelled out."""
     upper = F.upper(strip(raw_text(c)))
-    edges = F.lit(fv.WHITESPACE + ",.-/")
-    return F.btrim(F.regexp_replace(upper, _legal_form_pattern(), ""), edges)
+    cut = upper
+    for n in (1, 2, 3):
+        end = F.regexp_extract(upper, _LAST_WORDS[n], 0)
+        short = F.regexp_replace(end, r"(?U)[.\s]+", "").isin(fv.LEGAL_FORMS)
+        spelled = F.regexp_replace(strip(end), r"(?U)\s+", " ").isin(fv.LEGAL_FORMS_SPELLED)
+        cut = F.when(short | spelled, F.left(upper, F.length(upper) - F.length(end))).otherwise(cut)
+    return F.btrim(cut, F.lit(fv.WHITESPACE + ",.-/"))
 
 
 def matching_tax_key(c: Column) -> Column:
