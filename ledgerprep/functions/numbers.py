@@ -72,11 +72,26 @@ def _shapes(*patterns: str) -> list[str]:
 
 # The agreed formats: year first with - (and a time after T), day first with points or slashes,
 # eight digits. The others stand in for a lenient reader: month first where the day is not,
-# year first with slashes, a time after a blank.
+# year first with slashes, a time after a blank, two digits of the year (month first).
 DATE_SHAPES = _shapes(
     "0000-?-?", "0000-?-?T?:?:?", "?.?.0000", "00000000", "?/?/0000", "0000/?/?", "?-?-0000",
-    "0000-?-? ?:00", "0000-?-? ?:00:00",
+    "0000-?-? ?:00", "0000-?-? ?:00:00", "?/?/00", "?-?-00",
 )
+# A time with a fraction or a zone; the zone is not applied, the text's own clock counts.
+_CLOCK = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}([.,][0-9]+)?)?( ?(Z|[+-][0-9]{2}(:?[0-9]{2})?))?$"
+_ZONE = r" ?(Z|[+-][0-9]{2}(:?[0-9]{2})?)$"
+_DAY_OF_MONTH = r"^([0-9]{1,2})(?:st|nd|rd|th)?[ -]([a-z]+)[.]?,?[ -]([0-9]{4})$"
+_MONTH_DAY = r"^([a-z]+)[.]? ([0-9]{1,2})(?:st|nd|rd|th)?,? ([0-9]{4})$"
+_MONTHS = "array('january', 'february', 'march', 'april', 'may', 'june', 'july', 'august', 'september', 'october', 'november', 'december')"
+
+
+def _named_month(pattern: str, text: str, day: int, month: int) -> str:
+    """SQL for a date with an English month name, whole or of three letters."""
+    part = lambda i: f"regexp_extract({text}, '{pattern}', {i})"
+    place = f"coalesce(nullif(array_position({_MONTHS}, {part(month)}), 0), array_position(transform({_MONTHS}, m -> left(m, 3)), {part(month)}))"
+    return f"try_make_timestamp(int({part(3)}), int({place}), int({part(day)}), 0, 0, 0)"
+
+
 _LIST = ", ".join(f"'{s}'" for s in DATE_SHAPES)
 _TIME = "coalesce(int(get({p}, 3)), 0), coalesce(int(get({p}, 4)), 0), coalesce(int(get({p}, 5)), 0)"
 
@@ -90,7 +105,7 @@ def with_dates(df: DataFrame, dates: Mapping[str, Column]) -> DataFrame:
     out = df.withColumns({f"_T_{n}": strip(c.cast("string")) for n, c in dates.items()})
     out = out.withColumns(
         {
-            f"_S_{n}": F.expr(f"if(length(`_T_{n}`) BETWEEN 8 AND 19, translate(`_T_{n}`, '123456789', '000000000'), null)")
+            f"_S_{n}": F.expr(f"if(length(`_T_{n}`) >= 6, translate(`_T_{n}`, '123456789', '000000000'), null)")
             for n in dates
         }
     )
@@ -105,14 +120,21 @@ def with_dates(df: DataFrame, dates: Mapping[str, Column]) -> DataFrame:
         t, s, p = f"`_T_{n}`", f"`_S_{n}`", f"`_P_{n}`"
         day_first = f"try_make_timestamp(int({p}[2]), int({p}[1]), int({p}[0]), 0, 0, 0)"
         month_first = f"try_make_timestamp(int({p}[2]), int({p}[0]), int({p}[1]), 0, 0, 0)"
+        # A year of two digits lies less than 50 years ahead.
+        year = f"(2000 + int({p}[2]) - if(2000 + int({p}[2]) >= year(current_date()) + 50, 100, 0))"
+        short_month_first = f"try_make_timestamp({year}, int({p}[0]), int({p}[1]), 0, 0, 0)"
+        short_day_first = f"try_make_timestamp({year}, int({p}[1]), int({p}[0]), 0, 0, 0)"
         return F.expr(
             f"""CASE WHEN {p} IS NULL THEN CASE
-                  WHEN {s} RLIKE '^0{{1,2}} [A-Za-z]{{3}} 0000$' THEN try_to_timestamp({t}, 'd MMM yyyy')
-                  WHEN {s} RLIKE '^[A-Za-z]{{3}} 0{{1,2}}, 0000$' THEN try_to_timestamp({t}, 'MMM d, yyyy') END
+                  WHEN {s} IS NULL THEN NULL
+                  WHEN {t} RLIKE '{_CLOCK}' THEN try_cast(replace(regexp_replace({t}, '{_ZONE}', ''), ',', '.') AS timestamp)
+                  WHEN lower({t}) RLIKE '{_DAY_OF_MONTH}' THEN {_named_month(_DAY_OF_MONTH, f"lower({t})", 1, 2)}
+                  WHEN lower({t}) RLIKE '{_MONTH_DAY}' THEN {_named_month(_MONTH_DAY, f"lower({t})", 2, 1)} END
                 WHEN size({p}) = 1 THEN try_make_timestamp(
                   int(substring({t}, 1, 4)), int(substring({t}, 5, 2)), int(substring({t}, 7, 2)), 0, 0, 0)
                 WHEN length({p}[0]) = 4 THEN try_make_timestamp(
                   int({p}[0]), int({p}[1]), int({p}[2]), {_TIME.format(p=p)})
+                WHEN length({p}[2]) = 2 THEN coalesce({short_month_first}, {short_day_first})
                 WHEN contains({s}, '-') THEN coalesce({month_first}, {day_first})
                 WHEN contains({s}, '/') THEN coalesce({day_first}, {month_first})
                 ELSE {day_first} END"""
