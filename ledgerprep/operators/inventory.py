@@ -13,13 +13,24 @@ from ledgerprep.functions.numbers import (
     whole_months,
     with_dates,
 )
-from ledgerprep.functions.text import strip
+from ledgerprep.functions.text import is_blank, strip
 from ledgerprep.operators.ordered import place, running_sum
 
 STOCK_COLUMNS = ("UNRESTRICTED_STOCK", "BLOCKED_STOCK", "QUALITY_STOCK")
 OBSOLETE_MONTHS = 24
 PRICE_THRESHOLD_PCT = 10.0
-_VALUE_TYPE = "decimal(28,6)"
+_VALUE_TYPE = "decimal(34,6)"
+
+
+def _amount(value_column: str) -> Column:
+    """Exact amount of a cell; 0 where it is no number, infinite, or has over 28 digits before the point."""
+    return F.coalesce(parse_number(F.col(value_column)).try_cast(_VALUE_TYPE), F.lit(0).cast(_VALUE_TYPE))
+
+
+def unreadable_amounts(df: DataFrame, value_column: str = "TOTAL_VALUE") -> DataFrame:
+    """Rows whose amount is text but counts as 0 because it cannot be read as an exact number."""
+    given = ~is_blank(F.col(value_column))
+    return df.where(given & parse_number(F.col(value_column)).try_cast(_VALUE_TYPE).isNull())
 
 
 def _none(df: DataFrame) -> DataFrame:
@@ -113,7 +124,7 @@ def classify_abc(
     running sum over exact decimals, so it does not depend on the order of addition. The first
     row is A even if it alone exceeds the limit.
     """
-    amount = F.coalesce(parse_number(F.col(value_column)), F.lit(0.0)).cast(_VALUE_TYPE)
+    amount = _amount(value_column)
     order = [F.desc("_AMOUNT"), F.asc(key)]
     # Only the key and the amount are put in order; the table itself is joined once.
     placed = place(df.select(key, amount.alias("_AMOUNT")), order)
@@ -136,7 +147,7 @@ def classify_abc(
 
 def abc_summary(classified: DataFrame, value_column: str = "TOTAL_VALUE") -> DataFrame:
     """Count, share of rows and share of value of the three classes, all three always present."""
-    amount = F.coalesce(parse_number(F.col(value_column)), F.lit(0.0)).cast(_VALUE_TYPE)
+    amount = _amount(value_column)
     found = classified.groupBy("ABC_CLASS").agg(
         F.count(F.lit(1)).alias("count"), F.sum(amount).cast("double").alias("value")
     )

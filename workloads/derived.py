@@ -156,9 +156,10 @@ SQL = {
                ELSE 'some day' END AS LAST_MOVEMENT_DATE
         FROM {part} LEFT JOIN (
           SELECT l_partkey, cast(sum(cast(l_extendedprice as decimal(18,2))) as string) AS TOTAL_VALUE,
-            cast(year(max(l_shipdate)) as string) AS y, cast(month(max(l_shipdate)) as string) AS m,
-            cast(day(max(l_shipdate)) as string) AS d
-          FROM {lineitem} WHERE l_shipdate < timestamp '2000-01-01 00:00:00' OR l_partkey % 2 = 0
+            cast(year(max(moved)) as string) AS y, cast(month(max(moved)) as string) AS m,
+            cast(day(max(moved)) as string) AS d
+          FROM (SELECT *, CASE WHEN l_shipdate < timestamp '2000-01-01 00:00:00' OR l_partkey % 2 = 0 THEN l_shipdate END AS moved
+            FROM {lineitem})
           GROUP BY l_partkey) v ON p_partkey = v.l_partkey""",
     "supplier_names": """
         SELECT p_partkey AS row_id,

@@ -67,12 +67,10 @@ def _type_sql() -> str:
     return f"WITH src AS (SELECT {columns} FROM orders) " + " UNION ALL ".join(parts)
 
 
-_FACTS = "user_id % 50 AS who, event_type AS kind, CASE WHEN user_id % 3 = 0 THEN NULL ELSE 'x' END AS note"
-
-
 def exact_duplicates(spark, folder):
-    facts = given(spark, folder, "events").selectExpr(*_FACTS.split(", "))
-    return profile.duplicate_rows(facts)
+    """All columns of all events; every seventh event comes once more and every 21st once more again."""
+    events = given(spark, folder, "events")
+    return profile.duplicate_rows(events.unionByName(events.filter("event_id % 7 = 0")).unionByName(events.filter("event_id % 21 = 0")))
 
 
 def column_profile(spark, folder):
@@ -202,7 +200,8 @@ PAIRS = {
     "type_profile": (type_profile, _type_sql()),
     "exact_duplicates": (
         exact_duplicates,
-        f"SELECT count(*) AS total_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT {_FACTS} FROM events)) AS exact_duplicates FROM events",
+        """WITH e AS (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 7 = 0 UNION ALL SELECT * FROM events WHERE event_id % 21 = 0)
+          SELECT count(*) AS total_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM e)) AS exact_duplicates FROM e""",
     ),
     "column_profile": (
         column_profile,
