@@ -5,10 +5,27 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once a session: functions that run there import it, and the
+    path of the driver's Python is not theirs."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerprep_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="ledgerprep-")) / "ledgerprep.zip"
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(path))
+    sc._ledgerprep_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as ``spark.checkpoint.dir`` names it.
 
@@ -16,6 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     because executors of a cluster cannot see a folder of the driver machine.
     """
     sc = spark.sparkContext
+    ship(spark)
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if not configured and not sc.master.startswith("local"):
@@ -31,6 +49,7 @@ TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
 
 def tune(spark: SparkSession) -> SparkSession:
     """Set what the plans of this library run best with, where the session says nothing else."""
+    ship(spark)
     for key, value in TUNING.items():
         if key not in dict(spark.sparkContext.getConf().getAll()):
             spark.conf.set(key, value)
