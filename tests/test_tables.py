@@ -12,7 +12,7 @@ from ledgerprep.operators import (
 )
 from ledgerprep.plans.cleanse import Options
 from ledgerprep.plans.premigration import merge_duplicates, readiness_table, run_premigration, write_package
-from ledgerprep.sources.csv import detect_dialect, read_table
+from ledgerprep.sources.csv import detect_dialect, read_table, rejected_records
 
 
 def rows(df, key="row_id"):
@@ -223,6 +223,47 @@ def test_dialects_and_reading(spark, tmp_path):
     assert detect_dialect(b"a|b|c;d\n").separator == "|" and detect_dialect(b"plain\n").separator == ","
 
 
+def test_files_without_silent_loss(spark, tmp_path):
+    wide = ";".join(f"COLUMN_{i}" for i in range(1500))
+    texts = {
+        "late.csv": ("ID;NAME\n" + "1;plain\n" * 3000 + "2;MUÑOZ\n").encode("cp1252"),
+        "lines.csv": 'ID;NAME;V\n1;"two\nlines";5\n2;"a ""q""; b";6\n3;short\n'.encode(),
+        "wide.csv": f"{wide}\n{wide}\n".encode(), "surplus.csv": b'ID;NAME\n1;a;b\n2;c\n3;"x;y";"z\nw"\n4;"p;q"\n',
+        "header.csv": b'ID,"NA\nME"\n1,2\n', "empty.csv": b"",
+    }
+    for name, content in texts.items():
+        (tmp_path / name).write_bytes(content)
+    at = lambda name: str(tmp_path / name)
+    assert [r["NAME"] for r in read_table(spark, at("late.csv")).where("ID = 2").collect()] == ["MUÑOZ"]
+    assert [tuple(r) for r in read_table(spark, at("lines.csv")).orderBy("ID").collect()] == [
+        ("1", "two\nlines", "5"), ("2", 'a "q"; b', "6"), ("3", "short", None)
+    ]
+    assert list(read_table(spark, at("wide.csv")).first()) == wide.split(";")
+    with pytest.raises(Exception, match="more fields than the header"):
+        read_table(spark, at("surplus.csv")).select("ID").collect()
+    assert read_table(spark, at("surplus.csv"), surplus="skip").count() == 2
+    assert {r["record"] for r in rejected_records(spark, at("surplus.csv")).collect()} == {"1;a;b", '3;"x;y";"z\nw"'}
+    assert read_table(spark, [at("header.csv"), at("empty.csv")]).columns == ["ID", "NA\nME"]
+
+
+def test_dates_of_any_length(spark):
+    texts = {
+        "2024-01-05T10:11:12.5": "2024-01-05 10:11:12", "2024-01-05T10:11:12Z": "2024-01-05 10:11:12",
+        "2024-01-05 00:00:00.000": "2024-01-05 00:00:00", "2024-01-05T10:11+02:00": "2024-01-05 10:11:00",
+        "5 January 2024": "2024-01-05 00:00:00", "Jan 5, 2024": "2024-01-05 00:00:00", "5-feb-2023": "2023-02-05 00:00:00",
+        "December 31st, 2023": "2023-12-31 00:00:00", "1/2/24": "2024-01-02 00:00:00", "13/2/24": "2024-02-13 00:00:00",
+        "5 Janvier 2024": None, "2024-13-05T10:11:12Z": None, "x" * 5000: None, "31 June 2024": None,
+    }
+    df = with_dates(spark.createDataFrame([(t,) for t in texts], "t string"), {"d": F.col("t")})
+    assert {r["t"]: r["d"] for r in df.select("t", F.date_format("d", "yyyy-MM-dd HH:mm:ss").alias("d")).collect()} == texts
+
+
+def test_amounts_that_are_no_exact_numbers(spark):
+    df = spark.createDataFrame([(1, "1e25"), (2, "inf"), (3, "5"), (4, None), (5, "1e40"), (6, "x")], "id long, TOTAL_VALUE string")
+    assert {r["id"]: r["ABC_CLASS"] for r in inventory.classify_abc(df, "id").collect()} == {1: "A", 2: "C", 3: "C", 4: "C", 5: "C", 6: "C"}
+    assert sorted(r["id"] for r in inventory.unreadable_amounts(df).collect()) == [2, 5, 6]
+
+
 def members_of(spark, *groups):
     """Members table from (group, row, type) triples, ranked in the given order."""
     data = [(g, r, t, 100.0, "", (0 if t == "primary" else 1, 0, 0, 0, r)) for g, r, t in groups]

@@ -87,6 +87,47 @@ def csv_scan(spark, folder):
     return read_table(spark, path)
 
 
+def _written(df, spark, name=None, mode="error", encoding="utf-8"):
+    path = name or f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.mode(mode).options(
+        sep=";", header=True, encoding=encoding, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
+    return path
+
+
+_QUOTED = "concat(NAME, CASE row_id % 4 WHEN 0 THEN chr(10) || 'second; line' WHEN 1 THEN ' \"so\" named' ELSE '' END)"
+
+
+def csv_scan_quoted(spark, folder):
+    """Names with line breaks, separators and quotes inside, in every fourth row each."""
+    rows = derive(spark, folder, "partner").filter("NAME IS NOT NULL AND NAME <> ''").selectExpr("row_id", f"{_QUOTED} AS NAME", "COUNTRY")
+    return read_table(spark, _written(rows, spark))
+
+
+QUOTED_SQL = f"SELECT CAST(row_id AS varchar) AS row_id, {_QUOTED} AS NAME, COUNTRY FROM ({PARTNER}) WHERE NAME <> ''"
+
+
+def csv_scan_mixed_encoding(spark, folder):
+    """One folder of UTF-8 and ISO-8859-1 files; letters beyond ASCII stand in the last rows only."""
+    rows = derive(spark, folder, "partner").selectExpr("row_id", "concat(COUNTRY, CASE WHEN row_id > 1000 THEN ' MUÑOZ' ELSE '' END) AS COUNTRY")
+    rows = rows.sort("row_id")
+    path = _written(rows.filter("row_id % 2 = 0"), spark)
+    _written(rows.filter("row_id % 2 = 1"), spark, path, "append", "iso-8859-1")
+    return read_table(spark, path)
+
+
+MIXED_SQL = f"SELECT CAST(row_id AS varchar) AS row_id, COUNTRY || CASE WHEN row_id > 1000 THEN ' MUÑOZ' ELSE '' END AS COUNTRY FROM ({PARTNER})"
+_WIDE = 600
+
+
+def csv_scan_wide_header(spark, folder):
+    """A header of 600 long names (over 10 KB), of which three columns are asked for."""
+    rows = derive(spark, folder, "partner").select("row_id", *(F.col("row_id").alias(f"A_LONG_COLUMN_NAME_{i}") for i in range(1, _WIDE)))
+    return read_table(spark, _written(rows, spark)).select("row_id", "A_LONG_COLUMN_NAME_900", f"A_LONG_COLUMN_NAME_{_WIDE - 1}")
+
+
+WIDE_SQL = f"""SELECT CAST(row_id AS varchar) AS row_id, CAST(row_id AS varchar) AS A_LONG_COLUMN_NAME_900,
+    CAST(row_id AS varchar) AS A_LONG_COLUMN_NAME_{_WIDE - 1} FROM ({PARTNER})"""
 CSV_SQL = f"SELECT CAST(row_id AS varchar) AS row_id, nullif(NAME, '') AS NAME, TAX_ID, COUNTRY FROM ({PARTNER})"
 
 _DEDUP = Options(
@@ -211,6 +252,9 @@ PAIRS = {
         ]),
     ),
     "csv_scan": (csv_scan, CSV_SQL),
+    "csv_scan_quoted": (csv_scan_quoted, QUOTED_SQL),
+    "csv_scan_mixed_encoding": (csv_scan_mixed_encoding, MIXED_SQL),
+    "csv_scan_wide_header": (csv_scan_wide_header, WIDE_SQL),
     "cleanse_run": (
         cleanse_run, f"{ACCEPTED} SELECT row_id, PARTNER_ID, NAME, TAX_ID, PROVINCE, BIC_VALID FROM grouped WHERE row_id = g"
     ),
