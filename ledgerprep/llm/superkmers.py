@@ -1,13 +1,9 @@
 """Operator 9, substring dedup by super-k-mer partitioning.
 
-Windows of ``window`` words that share a minimiser travel together as one packed string to the
+Windows of ``window`` words that share a minimiser travel together as one packed string to a
 bucket of that minimiser. There all windows are sorted, and each gets the smallest doc_id that
 holds it. Words covered by a window that also starts in a document of a smaller doc_id go.
 
-A minimiser that occurs more than ``bucket`` times does not go to one bucket: its windows are
-grouped by themselves, with a smallest doc_id for each task first, and joined back. Both ways
-give the same rows.
-
 Cases: a null or empty text has no words; a text of fewer words than a window keeps all; rows
 with equal doc_id do not remove from each other; a row with a null doc_id neither loses words
 nor takes any from others; other columns are ignored.
@@ -26,83 +22,24 @@ from ledgerprep.llm import anchors as A
 from ledgerprep.llm.words import BLANK, slices, words_of
 from ledgerprep.session import Scratch
 
-COVERED = "doc_id long, text_key long, begin int, stop int"
-
 
 def remove_repeats(
-    docs: DataFrame, scratch: Scratch, window: int = A.WINDOW, seed: int = A.SEED, bucket: int = A.BUCKET_ROWS
+    docs: DataFrame, scratch: Scratch, window: int = A.WINDOW, seed: int = A.SEED, bucket: int = A.BUCKET
 ) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row."""
     texts = A.keyed(docs)
     known = texts.filter("doc_id IS NOT NULL")
-    places = A.shared_stretches(texts, scratch, window, seed, bucket)
-    # Both joins read the texts by the same keys, so Spark moves the texts once.
-    around = known.join(places, ["doc_id", "text_key"])
-    covered = A.by_bucket(A.packed(around, window, False), lambda t: _covered(t, window), COVERED).unionByName(
-        _crowded(A.packed(around, window, True), window)
-    )
-    spans = covered.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    places = A.shared_places(texts, scratch, window, seed, bucket)
+    found = A.repeats(known, places, window, lambda table: sorted_windows(table, window))
+    spans = found.filter("copy").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
     judged = known.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
     rest = texts.filter("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast(judged.schema["spans"].dataType).alias("spans"))
     return judged.unionByName(rest).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def _covered(table: pa.Table, window: int) -> pa.RecordBatch:
-    """Word spans of the windows that a smaller doc_id holds too."""
-    _, stretch, number, hashed = A.window_hashes(table, window)
-    doc = table.column("doc_id").to_numpy()
-    owner = doc[stretch]
-    order = np.lexsort((owner, hashed))
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = hashed[order[1:]] != hashed[order[:-1]]
-    least = owner[order[np.flatnonzero(new)]][np.cumsum(new) - 1] if len(order) else owner
-    gone = np.zeros(len(order), dtype=bool)
-    gone[order] = owner[order] > least
-    at, of = number[gone], stretch[gone]
-    opens = np.ones(len(at), dtype=bool)
-    opens[1:] = (of[1:] != of[:-1]) | (at[1:] > at[:-1] + window)
-    opened = np.flatnonzero(opens)
-    last = np.append(opened[1:], len(at)) - 1 if len(at) else opened
-    first = table.column("first").to_numpy().astype(np.int64)[of[opened]]
-    ids = table.select(["doc_id", "text_key"]).take(pa.array(of[opened])).combine_chunks()
-    return pa.RecordBatch.from_arrays(
-        [
-            *(c.combine_chunks() for c in ids.columns),
-            pa.array((first + at[opened]).astype(np.int32)), pa.array((first + at[last] + window).astype(np.int32)),
-        ],
-        names=["doc_id", "text_key", "begin", "stop"],
-    )
-
-
-def windows_alone(stretches: DataFrame, window: int) -> DataFrame:
-    """Every window of the stretches as a row: doc_id, text_key, begin and its two hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                table = pa.Table.from_batches([batch.slice(at, 2000)])
-                _, stretch, number, hashed = A.window_hashes(table, window)
-                first = table.column("first").to_numpy().astype(np.int64)
-                ids = table.select(["doc_id", "text_key", "anchor"]).take(pa.array(stretch)).combine_chunks()
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(c.combine_chunks() for c in ids.columns), pa.array(hashed.view(np.int64)),
-                        pa.array((first[stretch] + number).astype(np.int32)),
-                    ],
-                    names=["doc_id", "text_key", "anchor", "window", "begin"],
-                )
-
-    return stretches.mapInArrow(run, "doc_id long, text_key long, anchor long, window long, begin int")
-
-
-def _crowded(stretches: DataFrame, window: int) -> DataFrame:
-    alone = windows_alone(stretches, window)
-    least = alone.groupBy("anchor", "window").agg(F.min("doc_id").alias("least"))
-    return (
-        alone.join(least, ["anchor", "window"])
-        .filter("doc_id > least")
-        .select("doc_id", "text_key", "begin", (F.col("begin") + window).cast("int").alias("stop"))
-    )
+def sorted_windows(table: pa.Table, window: int) -> A.Windows:
+    stretch, number, hashed = A.windows_of(table, A.words_packed(table), window)
+    return A.Windows(stretch, number, hashed, np.unique(hashed, return_inverse=True)[1])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
