@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerprep.llm.suffixes import repeated_passages
 from ledgerprep.llm.superkmers import remove_repeats
 from ledgerprep.session import Scratch
 
 
+def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    return repeated_passages(docs, Scratch(spark)).select(
+        "doc_id", F.col("begin").alias("first_word"), (F.col("stop") - F.col("begin")).alias("n_words"), F.col("copy").alias("is_copy")
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     kept = remove_repeats(docs, Scratch(spark))
@@ -40,5 +48,14 @@ SELECT doc_id, len(words)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
 FROM kept
 """
 
-QUERIES = {"op9_substring_dedup": op9_substring_dedup}
-ORACLES = {"op9_substring_dedup": _OP9}
+_OP1 = f"""
+WITH {_WINDOWS},
+s AS (SELECT doc_id, pos, doc_id > least AS is_copy FROM h JOIN m USING (h)),
+o AS (SELECT *, pos > lag(pos) OVER (PARTITION BY doc_id, is_copy ORDER BY pos) + 50 AS gap FROM s),
+r AS (SELECT *, count(*) FILTER (gap) OVER (PARTITION BY doc_id, is_copy ORDER BY pos) AS run FROM o)
+SELECT doc_id, (min(pos) - 1)::INTEGER AS first_word, (max(pos) - min(pos) + 50)::INTEGER AS n_words, is_copy
+FROM r GROUP BY doc_id, is_copy, run
+"""
+
+QUERIES = {"op1_suffix_array_dedup": op1_suffix_array_dedup, "op9_substring_dedup": op9_substring_dedup}
+ORACLES = {"op1_suffix_array_dedup": _OP1, "op9_substring_dedup": _OP9}
