@@ -1,7 +1,7 @@
 """Queries on duplicates: keys, blocks, fuzzy pairs, clusters, merging.
 
-The SQL checks use threshold 100, where a cluster is all names equal without their legal
-form; lower thresholds are checked against a plain loop in the tests."""
+Pairs and clusters are checked at the usual threshold of 85. The checks of what is made of them
+use threshold 100, where a cluster is all names equal without their legal form."""
 
 from __future__ import annotations
 
@@ -66,6 +66,21 @@ PAIRS_SQL = f"""WITH {KEYED}, v AS (SELECT block, bare, min(rep) AS vid FROM fir
     WHERE (length(x.bare) + length(y.bare) - levenshtein(x.bare, y.bare)) * 200 >= 85 * 2 * (length(x.bare) + length(y.bare))"""
 
 
+# Longest common subsequence of x.bare and y.bare, bit by bit: a bit of v is 0 where a letter of
+# y.bare is matched, and each letter of x.bare moves matches as far to the front as they go.
+_BITS = """list_transform(range(1, length(x.bare) + 1), lambda i: list_sum(list_transform(range(1, length(y.bare) + 1),
+      lambda j: CASE WHEN y.bare[j] = x.bare[i] THEN 1::HUGEINT << (j - 1)::INTEGER ELSE 0::HUGEINT END))::HUGEINT)"""
+_FULL = "((1::HUGEINT << length(y.bare)::INTEGER) - 1)"
+_LCS = f"""length(y.bare) - bit_count(list_reduce(list_prepend({_FULL}, {_BITS}),
+      lambda v, m: ((v + (v & m)) | (v - (v & m))) & {_FULL}))"""
+# No pair has fewer single-letter insertions and deletions than its edit distance.
+INDEL_SQL = f"""WITH {KEYED}, v AS (SELECT block, bare, min(rep) AS vid FROM firsts WHERE bare <> '' GROUP BY ALL),
+    near AS MATERIALIZED (SELECT x.vid AS a, y.vid AS b, x.bare AS one, y.bare AS two FROM v x JOIN v y ON x.block = y.block AND x.vid < y.vid
+      WHERE levenshtein(x.bare, y.bare) * 100 <= 15 * (length(x.bare) + length(y.bare))),
+    scored AS (SELECT a, b, length(one) + length(two) AS total, {_LCS.replace("x.bare", "one").replace("y.bare", "two")} AS lcs FROM near)
+    SELECT a, b, round(lcs * 200 / total, 4) AS score FROM scored WHERE lcs * 200 >= 85 * total"""
+
+
 def fuzzy_pairs_indel(spark, folder):
     return _pairs(spark, folder, "indel")
 
@@ -88,6 +103,26 @@ def leader_clusters_unblocked(spark, folder):
     return _members(spark, folder, 85.0, "none").select("group_id", "row_id", "match_type", F.round("score", 2).alias("score"))
 
 
+def _led(block: str = "block") -> str:
+    """Clusters at 85: names of a block in order of their first row; each follows the first leader it is near to."""
+    head = MEMBERS.split(", lead AS")[0].replace("substring(bare, 1, 3) AS block", f"{block} AS block") if block != "block" else KEYED
+    tail = MEMBERS[MEMBERS.index("base AS"):]
+    near = INDEL_SQL[INDEL_SQL.index("v AS"):INDEL_SQL.index("    SELECT a, b, round")]
+    return f"""WITH RECURSIVE {head}, {near},
+    pairs AS MATERIALIZED (SELECT a, b, lcs * 200 / total AS score FROM scored WHERE lcs * 200 >= 85 * total),
+    spots AS MATERIALIZED (SELECT block, bare, vid, row_number() OVER (PARTITION BY block ORDER BY vid) AS spot,
+      coalesce((SELECT list(a ORDER BY a) FROM pairs WHERE b = vid), []) AS earlier FROM v),
+    walk AS (SELECT block, 0::BIGINT AS spot, []::BIGINT[] AS leaders, NULL::BIGINT AS vid, NULL::BIGINT AS leader FROM (SELECT DISTINCT block FROM v)
+      UNION ALL SELECT w.block, s.spot, CASE WHEN list_has_any(s.earlier, w.leaders) THEN w.leaders ELSE list_append(w.leaders, s.vid) END, s.vid,
+        coalesce(list_min(list_filter(s.earlier, lambda e: list_contains(w.leaders, e))), s.vid)
+      FROM walk w JOIN spots s ON s.block = w.block AND s.spot = w.spot + 1),
+    lead AS (SELECT v.block, v.bare, w.leader FROM v JOIN walk w USING (vid)
+      UNION ALL SELECT block, bare, rep FROM firsts WHERE bare = ''), {tail}
+    SELECT m.group_id, m.row_id, m.match_type, CASE WHEN m.match_type <> 'fuzzy' THEN 100.0::DOUBLE
+      ELSE round(coalesce(p.score, 100.0), 2) END AS score
+    FROM members m LEFT JOIN firsts f ON f.rep = m.rep LEFT JOIN v USING (block, bare) LEFT JOIN pairs p ON p.a = m.group_id AND p.b = v.vid"""
+
+
 _COLUMNS = ["row_id", "NAME", "TAX_ID", "EMAIL", "EMAIL_VALID"]
 
 
@@ -145,15 +180,15 @@ PAIRS = {
     "collapsed_names": (collapsed_names, f"WITH {KEYED} SELECT block, name_key, rep, rows FROM firsts"),
     "block_sizes": (block_sizes, f"WITH {KEYED} SELECT block, CAST(sum(rows) AS bigint) AS rows, count(*) AS names FROM firsts GROUP BY 1"),
     "fuzzy_pairs_lev": (fuzzy_pairs_lev, PAIRS_SQL),
-    "fuzzy_pairs_indel": (fuzzy_pairs_indel, None),
+    "fuzzy_pairs_indel": (fuzzy_pairs_indel, INDEL_SQL),
     "duplicate_members": (duplicate_members, f"WITH {MEMBERS} SELECT group_id, row_id, match_type, 100.0::double AS score FROM members"),
     "duplicate_summary": (
         duplicate_summary,
         f"""WITH {MEMBERS} SELECT count(DISTINCT group_id) AS duplicate_groups, CAST(count(DISTINCT group_id) + count(*) FILTER (WHERE tax = 1)
           + count(DISTINCT rep) FILTER (WHERE match_type = 'fuzzy') AS bigint) AS records_affected FROM members""",
     ),
-    "leader_clusters": (leader_clusters, None),
-    "leader_clusters_unblocked": (leader_clusters_unblocked, None),
+    "leader_clusters": (leader_clusters, _led()),
+    "leader_clusters_unblocked": (leader_clusters_unblocked, _led("''")),
     "merge_fields": (_merged("merge"), MERGE_SQL),
     "merge_keep_primary": (_merged("keep_primary"), _kept_sql("group_id")),
     "merge_keep_first": (_merged("keep_first"), _kept_sql("min(row_id)")),
