@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 _WORD = 64
+#: Characters of the longer texts that a block of pairs is filled up to.
+_BLOCK_CHARS = 1 << 20
 
 
 def _codes(texts: list[str], width: int) -> np.ndarray:
@@ -65,11 +67,17 @@ def lcs_lengths(a: pd.Series, b: pd.Series) -> pd.Series:
     pairs = [(x, y) if len(x) <= len(y) else (y, x) for x, y in both]
     sizes = np.zeros(len(pairs), dtype=np.int64)
     short = [i for i, (x, y) in enumerate(pairs) if x and len(x) <= _WORD and "\0" not in x + y]
-    # Texts of similar size share a block, so that little is spent on filling up.
+    # Texts of similar size share a block, so that little is spent on filling up; the longest
+    # text of a block decides how many it holds.
     short.sort(key=lambda i: len(pairs[i][1]))
-    for start in range(0, len(short), 4096):
-        block = short[start : start + 4096]
+    start = 0
+    while start < len(short):
+        stop = min(start + 4096, len(short))
+        while stop > start + 1 and (stop - start) * len(pairs[short[stop - 1]][1]) > _BLOCK_CHARS:
+            stop = start + (stop - start) // 2
+        block = short[start:stop]
         sizes[block] = _lcs_words([pairs[i][0] for i in block], [pairs[i][1] for i in block])
+        start = stop
     for i in set(range(len(pairs))) - set(short):
         sizes[i] = _lcs_long(*pairs[i])
     out.iloc[given] = sizes
