@@ -87,7 +87,7 @@ def copies_of_sized(sized: DataFrame, scratch: Scratch, seed: int = 7) -> DataFr
     """``copies`` of documents given by doc_id, source and size."""
     units = scratch.keep(sized.groupBy("doc_id", "source").agg(F.sum("size").alias("size")))
     wanted = scratch.keep(targets(units, scratch))
-    each = F.least(F.lit(float(MOST)), F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    each = F.when(F.col("size") > 0, F.least(F.lit(float(MOST)), F.col("target") / F.col("source_size"))).otherwise(0.0)
     units = scratch.keep(
         units.alias("u")
         .join(wanted.alias("t"), F.col("u.source").eqNullSafe(F.col("t.source")))
