@@ -42,8 +42,10 @@ from ledgerprep.session import Scratch
 
 DIMS = 64
 BOX = 16
-LEAF_ROWS = 256
-LEAF_SHINGLES = 400_000
+#: A family of at most so many texts and shingles is one leaf; small families share one.
+LEAF_ROWS = 4096
+LEAF_SHINGLES = 2_000_000
+SHARED_ROWS = 256
 FLUSH = 1 << 20
 
 LINKS = "a long, b long, head boolean"
@@ -206,26 +208,32 @@ def shared_groups(docs: DataFrame, k: int, num: int, den: int, seed: int) -> Dat
     return signed_.select(F.first("node").over(inside).alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
 
 
-def _leaves(members: DataFrame) -> DataFrame:
-    """Adds ``leaf``: runs of members (family, node, n, ...) in order of family and size, of bounded size.
+def _leaves(members: DataFrame, *order: str) -> DataFrame:
+    """Adds ``leaf``: runs of members (family, node, n, ...) in order of family, ``order`` and size, of bounded size.
 
-    The order is dealt by ranges, so a large family is many leaves of many tasks."""
-    names = members.columns
+    The order is dealt by ranges: a family that fits a leaf goes to one task, a larger one is many
+    leaves of many tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaf, rows, shingles, last = TaskContext.get().partitionId() << 32, 0, 0, None
         for batch in batches:
             out = []
-            for family, n in zip(batch.column("family").to_pylist(), batch.column("n").to_pylist(), strict=True):
+            keys = zip(*(batch.column(c).to_pylist() for c in ("family", *order)), strict=True)
+            for key, n in zip(keys, batch.column("n").to_pylist(), strict=True):
                 full = rows >= LEAF_ROWS or shingles + n > LEAF_SHINGLES
-                if rows and (full or family != last and rows >= LEAF_ROWS // 2):
+                if rows and (full or key != last and rows >= SHARED_ROWS):
                     leaf, rows, shingles = leaf + 1, 0, 0
-                rows, shingles, last = rows + 1, shingles + n, family
+                rows, shingles, last = rows + 1, shingles + n, key
                 out.append(leaf)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "leaf"])
 
-    ranged = members.repartitionByRange("family", "n", "node").sortWithinPartitions("family", "n", "node")
-    return ranged.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", leaf long").select(*names, "leaf")
+    names = members.columns
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("_rows"), F.sum("n").alias("_shingles"))
+    large = (F.col("_rows") > LEAF_ROWS) | (F.col("_shingles") > LEAF_SHINGLES)
+    by = [*order, "n", "node"]
+    dealt = members.join(sizes, "family").repartitionByRange("family", *(F.when(large, F.col(c)) for c in by))
+    ranged = dealt.sortWithinPartitions("family", *by).select(*names)
+    return ranged.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", leaf long")
 
 
 def _link(group: pa.Table, k: int, num: int, den: int, seed: int) -> pa.Table:
@@ -266,15 +274,17 @@ def _family(rows, value, at, counts, node, component, side, num, den, edges) ->
     least_size = np.minimum.reduceat(size, boxes)
     largest = np.maximum.reduceat(size, boxes)
     two = len(np.unique(side[rows])) > 1
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     weight = np.zeros(len(rows), dtype=np.int64)
+    own = component[rows]
     for i in range(len(boxes)):
         bound = np.minimum(most[i], most[i:]).sum(axis=1)
         # intersection >= num / den * union, so (num + den) * intersection >= num * (sum of sizes)
         near = (num + den) * bound >= num * (least_size[i] + least_size[i:])
         near &= largest[i] * den >= num * least_size[i:]
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        x = np.arange(boxes[i], min(boxes[i] + BOX, len(rows)))
         for j in (np.flatnonzero(near) + i).tolist():
-            x, y = np.arange(boxes[i], min(boxes[i] + BOX, len(rows))), np.arange(boxes[j], min(boxes[j] + BOX, len(rows)))
+            y = np.arange(boxes[j], min(boxes[j] + BOX, len(rows)))
             shared = np.minimum(points[x][:, None, :], points[y][None, :, :]).sum(axis=2)
             good = (num + den) * shared >= num * (size[x][:, None] + size[y][None, :])
             good &= names[x][:, None] != names[y][None, :]
@@ -287,12 +297,12 @@ def _family(rows, value, at, counts, node, component, side, num, den, edges) ->
                 found.append((x[p], y[q], shared[p, q]))
                 np.add.at(weight, x[p], shared[p, q])
                 np.add.at(weight, y[q], shared[p, q])
-    if found:
-        x, y, shared = (np.concatenate(c) for c in zip(*found, strict=True))
-        share = shared / (size[x] + size[y])
-        own = component[rows]
-        for i in np.lexsort((names[y], names[x], -share)).tolist():
-            a, b = int(x[i]), int(y[i])
+        if not found:
+            continue
+        first, second, shared = (np.concatenate(c) for c in zip(*found, strict=True))
+        share = shared / (size[first] + size[second])
+        for pair in np.lexsort((names[second], names[first], -share)).tolist():  # the likeliest links first
+            a, b = int(first[pair]), int(second[pair])
             ra, rb = root(int(own[a])), root(int(own[b]))
             if ra == rb:
                 continue
@@ -360,7 +370,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80
         heads = edges.filter("head").select(F.col("a").alias("node")).join(heads.drop("leaf"), "node")
     joined = components(linked, scratch)
     if before is not None:
-        tiles = _tiles(members.join(spread, "family"), joined, num, den)
+        placed = members.join(spread, "family").drop("leaf").join(joined, "node", "left")
+        placed = placed.select("family", "node", "n", F.coalesce("root", "node").alias("component"))
+        tiles = _tiles(placed, scratch, num, den)
         more = links(tiles).filter("NOT head").select("a", "b")
         joined = components(linked.unionByName(scratch.keep(more)), scratch)
     root = F.coalesce("root", "node")
@@ -397,18 +409,23 @@ def _texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows come once
 
 
-def _tiles(members: DataFrame, joined: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of leaves of a family that hold different components and sizes that can link."""
-    placed = members.join(joined, "node", "left").withColumn("component", F.coalesce("root", "node"))
-    leaves = placed.groupBy("family", "leaf").agg(
-        F.min("n").alias("low"), F.max("n").alias("high"), F.min("component").alias("first"), F.max("component").alias("last")
-    )
+def _tiles(members: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+    """Pairs of leaves of a family, and leaves, that hold different components of sizes that can link.
+
+    The leaves are packed anew by component, so that those of one large component are of it alone."""
+    ends = (F.min("component").alias("first"), F.max("component").alias("last"))
+    open_ = members.groupBy("family").agg(*ends).filter("first <> last").select("family")
+    placed = scratch.keep(_leaves(members.join(open_, "family"), "component"))
+    leaves = placed.groupBy("family", "leaf").agg(F.min("n").alias("low"), F.max("n").alias("high"), *ends)
     one, two = leaves.alias("x"), leaves.alias("y")
     pairs = one.join(two, F.col("x.family") == F.col("y.family")).filter(
-        "x.leaf < y.leaf AND NOT (x.first = x.last AND y.first = y.last AND x.first = y.first)"
+        "x.leaf <= y.leaf AND NOT (x.first = x.last AND y.first = y.last AND x.first = y.first)"
     )
     pairs = pairs.filter((F.col("x.high") * den >= F.col("y.low") * num) & (F.col("y.high") * den >= F.col("x.low") * num))
-    pairs = pairs.select(F.col("x.family").alias("family"), F.xxhash64("x.family", "x.leaf", "y.leaf").alias("tile"), F.col("x.leaf").alias("a"), F.col("y.leaf").alias("b"))
-    sides = pairs.select("family", "tile", F.explode(F.array(F.struct(F.col("a").alias("leaf"), F.lit(0).alias("side")), F.struct(F.col("b").alias("leaf"), F.lit(1).alias("side")))).alias("s"))
-    sides = sides.select("family", "tile", "s.leaf", "s.side")
-    return placed.join(sides, ["family", "leaf"]).select(F.col("tile").alias("leaf"), "family", "node", "component", "side")
+    sides = F.when(F.col("x.leaf") == F.col("y.leaf"), F.array(F.struct(F.col("x.leaf").alias("leaf"), F.lit(0).alias("side")))).otherwise(
+        F.array(F.struct(F.col("x.leaf").alias("leaf"), F.lit(0).alias("side")), F.struct(F.col("y.leaf").alias("leaf"), F.lit(1).alias("side")))
+    )
+    pairs = pairs.select(F.col("x.family").alias("family"), F.xxhash64("x.family", "x.leaf", "y.leaf").alias("tile"), F.explode(sides).alias("s"))
+    return placed.join(pairs.select("family", "tile", "s.leaf", "s.side"), ["family", "leaf"]).select(
+        F.col("tile").alias("leaf"), "family", "node", "component", "side"
+    )

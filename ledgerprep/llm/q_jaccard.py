@@ -10,7 +10,8 @@ from ledgerprep.session import Scratch
 
 def op2_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    return near_duplicates(docs, Scratch(spark), k=3, num=90, den=100)
+    found = near_duplicates(docs, Scratch(spark), k=3, num=90, den=100)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 _OP2 = r"""

@@ -58,6 +58,7 @@ def chain(size, seed):
 
 def test_families_of_many_leaves(documents, scratch, monkeypatch):
     monkeypatch.setattr(jaccard, "LEAF_ROWS", 6)
+    monkeypatch.setattr(jaccard, "SHARED_ROWS", 3)
     monkeypatch.setattr(jaccard, "FLUSH", 50)
     texts = chain(60, 1) + chain(30, 2) + chain(60, 1)[::2]
     rows = [((i * 37) % 1000, t) for i, t in enumerate(texts)]
