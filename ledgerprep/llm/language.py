@@ -121,15 +121,17 @@ def train(docs: DataFrame, sample: int = SAMPLE, seed: int = 10) -> Model:
 def _fit(pieces: pa.Table, languages: list[str], seed: int) -> Model:
     number = {lang: i for i, lang in enumerate(languages)}
     y = np.array([number[x] for x in pieces.column("lang").to_pylist()])
-    bucket, at = grams(pieces.column("text").combine_chunks())
+    texts = pieces.column("text").combine_chunks()
     tuning = pieces.column("key").to_numpy() % 5 == 0  # whole rows, with all their pieces
     random = np.random.default_rng(seed)
     emb = random.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH))
     out, bias = np.zeros((WIDTH, len(languages))), np.zeros(len(languages))
-    parts = []
-    for i in range(len(y)):
-        unique, times = np.unique(bucket[at[i] : at[i + 1]], return_counts=True)
-        parts.append((unique, times / max(1, times.sum())))
+    parts = []  # by piece: its buckets and their shares
+    for begin in range(0, len(y), 1000):  # the grams of all pieces at once would be large
+        bucket, at = grams(texts.slice(begin, 1000))
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            unique, times = np.unique(bucket[a:b], return_counts=True)
+            parts.append((unique.astype(np.uint16), (times / max(1, times.sum())).astype(np.float32)))
     learn = np.flatnonzero(~tuning)
     weight = 1 / np.maximum(1, np.bincount(y[learn], minlength=len(languages)))
     weight = weight / weight[weight > 0].mean()
