@@ -117,17 +117,17 @@ def csv_scan_mixed_encoding(spark, folder):
 
 
 MIXED_SQL = f"SELECT CAST(row_id AS varchar) AS row_id, COUNTRY || CASE WHEN row_id > 1000 THEN ' MUÑOZ' ELSE '' END AS COUNTRY FROM ({PARTNER})"
-_WIDE = 600
+_WIDE = 250
 
 
 def csv_scan_wide_header(spark, folder):
-    """A header of 600 long names (over 10 KB), of which three columns are asked for."""
-    rows = derive(spark, folder, "partner").select("row_id", *(F.col("row_id").alias(f"A_LONG_COLUMN_NAME_{i}") for i in range(1, _WIDE)))
-    return read_table(spark, _written(rows, spark)).select("row_id", "A_LONG_COLUMN_NAME_900", f"A_LONG_COLUMN_NAME_{_WIDE - 1}")
+    """A header of 250 long names (over 10 KB), of which three columns are asked for."""
+    rows = derive(spark, folder, "partner").select("row_id", *(F.col("row_id").alias(f"A_COLUMN_NAME_OF_MORE_THAN_FORTY_LETTERS_IN_ALL_{i}") for i in range(1, _WIDE)))
+    return read_table(spark, _written(rows, spark)).select("row_id", "A_COLUMN_NAME_OF_MORE_THAN_FORTY_LETTERS_IN_ALL_200", f"A_COLUMN_NAME_OF_MORE_THAN_FORTY_LETTERS_IN_ALL_{_WIDE - 1}")
 
 
-WIDE_SQL = f"""SELECT CAST(row_id AS varchar) AS row_id, CAST(row_id AS varchar) AS A_LONG_COLUMN_NAME_900,
-    CAST(row_id AS varchar) AS A_LONG_COLUMN_NAME_{_WIDE - 1} FROM ({PARTNER})"""
+WIDE_SQL = f"""SELECT CAST(row_id AS varchar) AS row_id, CAST(row_id AS varchar) AS A_COLUMN_NAME_OF_MORE_THAN_FORTY_LETTERS_IN_ALL_200,
+    CAST(row_id AS varchar) AS A_COLUMN_NAME_OF_MORE_THAN_FORTY_LETTERS_IN_ALL_{_WIDE - 1} FROM ({PARTNER})"""
 CSV_SQL = f"SELECT CAST(row_id AS varchar) AS row_id, nullif(NAME, '') AS NAME, TAX_ID, COUNTRY FROM ({PARTNER})"
 
 _DEDUP = Options(
