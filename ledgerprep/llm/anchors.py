@@ -97,6 +97,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
+def owned(texts: DataFrame) -> DataFrame:
+    """owner, text_key, body: the same columns for all joins with the texts. The names differ from
+    those of the input, so that plans agree on them and Spark moves the texts once for all joins."""
+    return texts.filter("doc_id IS NOT NULL").select(F.col("doc_id").alias("owner"), "text_key", F.col("text").alias("body"))
+
+
 def anchors(texts: DataFrame, window: int, seed: int) -> DataFrame:
     """Every super-k-mer of ``keyed`` documents, without its words."""
 
@@ -129,12 +135,12 @@ def shared_places(texts: DataFrame, scratch: Scratch, window: int, seed: int, bu
 
 
 def packed(texts: DataFrame, window: int) -> DataFrame:
-    """Stretches of ``texts`` (doc_id, text_key, text, places) with their words in one string."""
+    """Stretches of ``texts`` (owner, text_key, body, places) with their words in one string."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
-                words = words_of(part.column("text"), BLANK)
+            for part in slices(batch, "body"):
+                words = words_of(part.column("body"), BLANK)
                 places = part.column("places")
                 flat = places.flatten()
                 row = np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
@@ -144,8 +150,8 @@ def packed(texts: DataFrame, window: int) -> DataFrame:
                 data = words.data.tobytes()
                 lo, hi = words.start[begin], words.end[begin + windows + window - 2]
                 strings = [data[a:b] for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
-                ids = part.select(["doc_id", "text_key"]).take(pa.array(row))
-                own = mix(ids.column("doc_id").to_numpy().view(np.uint64) ^ mix(place.view(np.uint64)))
+                ids = part.select(["owner", "text_key"]).take(pa.array(row))
+                own = mix(ids.column("owner").to_numpy().view(np.uint64) ^ mix(place.view(np.uint64)))
                 bucket = mix(anchor.view(np.uint64) ^ mix(own % chunks.astype(np.uint64) + np.uint64(1)))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -197,7 +203,7 @@ def windows_of(table: pa.Table, words: Words, window: int) -> tuple[np.ndarray,
 def repeats(
     texts: DataFrame, places: DataFrame, window: int, windows: Callable[[pa.Table], Windows]
 ) -> DataFrame:
-    """Word spans (doc_id, text_key, begin, stop, copy) of windows that several documents hold.
+    """Word spans (doc_id, text_key, begin, stop, copy) of windows that several documents of ``owned`` texts hold.
 
     ``copy`` tells that a smaller doc_id holds the window too; the others are the first.
     ``windows`` finds the equal windows of the stretches of a bucket."""
@@ -260,7 +266,7 @@ def repeats(
             names=["doc_id", "text_key", "begin", "stop", "copy", "bucket", "rest"],
         )
 
-    around = texts.join(places, ["doc_id", "text_key"])
+    around = texts.join(places.withColumnRenamed("doc_id", "owner"), ["owner", "text_key"])
     first = _by_bucket(packed(around, window), first_round)
     # Settled spans pass the second round unchanged, so that one plan moves the texts once.
     second = _by_bucket(first.withColumn("bucket", F.coalesce("bucket", F.xxhash64("doc_id", "begin"))), second_round)

@@ -33,7 +33,7 @@ def repeated_passages(
     ``copy`` is false in the document of the smallest doc_id that holds the windows. A document
     with several texts gives the passages of each."""
     texts = A.keyed(docs)
-    known = texts.filter("doc_id IS NOT NULL")
+    known = A.owned(texts)
     places = A.shared_places(texts, scratch, window, seed, bucket)
     found = A.repeats(known, places, window, lambda table: suffix_windows(table, window))
     spans = found.groupBy("doc_id", "text_key", "copy").agg(

@@ -28,11 +28,12 @@ def remove_repeats(
 ) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of every row."""
     texts = A.keyed(docs)
-    known = texts.filter("doc_id IS NOT NULL")
+    known = A.owned(texts)
     places = A.shared_places(texts, scratch, window, seed, bucket)
     found = A.repeats(known, places, window, lambda table: sorted_windows(table, window))
     spans = found.filter("copy").groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
-    judged = known.join(spans, ["doc_id", "text_key"], "left").select("doc_id", "text", "spans")
+    judged = known.join(spans.withColumnRenamed("doc_id", "owner"), ["owner", "text_key"], "left")
+    judged = judged.select(F.col("owner").alias("doc_id"), F.col("body").alias("text"), "spans")
     rest = texts.filter("doc_id IS NULL").select("doc_id", "text", F.lit(None).cast(judged.schema["spans"].dataType).alias("spans"))
     return judged.unionByName(rest).mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept string")
 
