@@ -45,7 +45,7 @@ STAGES = [
     ("token_output", token_output),
 ]
 
-#: The model of the first stage is not SQL; the tests hold each stage against a brute-force version.
+#: the model of the first stage is not SQL.
 ORACLE_SQL = None
 
 
