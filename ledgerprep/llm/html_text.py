@@ -7,8 +7,12 @@ the subtree of the largest sum in it. The text is that of the smallest node that
 or of the article or main element around it, so that no paragraph between them is lost.
 
 Parts that are never an article do not count and are not returned: by element (menus, headers,
-footers, asides, forms, scripts, styles and the like), by a word of class, id or role (adverts,
-notices, comments and the like), and hidden ones.
+footers, asides, scripts, styles and the like) and hidden ones. Forms, and elements with a word of
+class, id or role that names adverts, notices, comments and the like, are left out too, unless they
+hold an article or main element, the node of the largest sum, or more text than is outside of all
+of them (and a quarter of the largest): then they, and others of the same name, are layout. A name that is all of such words
+(``comments``, ``ad-banner``) is judged by that only if there is no text outside. Names of states
+(``has-sidebar``), ids of headings and paragraphs, and ids of sections with other words do not count.
 
 Cases: a null or empty page, and one without text, gives an empty text; a page that breaks off is
 read to its end, without the tag or comment that is not closed; elements left open end with their
@@ -21,6 +25,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -50,7 +55,7 @@ _ENDS = {
 }
 _SCOPE = frozenset("table td th button object caption".split())
 _NEVER = frozenset(
-    "nav header footer aside form script style noscript template iframe svg canvas button select textarea input dialog menu"
+    "nav header footer aside script style noscript template iframe svg canvas button select textarea input dialog menu"
     " object embed audio video head title".split()
 )
 _NEVER_NAMED = frozenset(
@@ -60,6 +65,16 @@ _NEVER_NAMED = frozenset(
     " social sponsor sponsored subscribe toolbar widget".split()
 )
 _NEVER_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
+#: Of the words above, those that wrap a page as often as they name a part of it.
+_LAYOUT = frozenset(
+    "banner header masthead menu modal nav navbar navigation footer respond search share sharing sidebar social toolbar widget notice"
+    " notices".split()
+)
+_GENERIC = frozenset("area block box items list posts section thread".split())
+_STATE = frozenset(
+    "has no not with without is open opened closed enabled disabled active inactive visible collapsed expanded on off".split()
+)
+_HEADING_OR_PARAGRAPH = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 
 
 def _never(tag: str, attributes: str) -> bool:
@@ -67,16 +82,33 @@ def _never(tag: str, attributes: str) -> bool:
         return True
     if not attributes or tag in ("body", "html", "article", "main"):
         return False
-    for name, *values in _ATTRIBUTE.findall(attributes):
-        value = "".join(values).lower()
-        if name.lower() == "role":
-            if value.strip() in _NEVER_ROLE:
-                return True
-        elif not _NEVER_NAMED.isdisjoint(_PART.split(value)):
-            return True
     return _HIDDEN.search(attributes) is not None
 
 
+def _suspect(tag: str, attributes: str) -> tuple[bool, frozenset[str]] | None:
+    """Whether an element that may be no article is named by words of that kind only, and its names."""
+    whole, names = False, ["form"] if tag == "form" else []
+    if attributes and tag not in ("body", "html"):
+        for attribute, *values in _ATTRIBUTE.findall(attributes):
+            attribute, value = attribute.lower(), "".join(values).lower()
+            if attribute == "role":
+                if value.strip() in _NEVER_ROLE:
+                    names.append(f"role {value.strip()}")
+                continue
+            if attribute == "id" and tag in _HEADING_OR_PARAGRAPH:
+                continue
+            for token in value.split():
+                parts = {part for part in _PART.split(token) if part}
+                if _NEVER_NAMED.isdisjoint(parts) or not _STATE.isdisjoint(parts):
+                    continue
+                only = parts <= _NEVER_NAMED | _GENERIC
+                if attribute == "id" and tag == "section" and not only:
+                    continue
+                whole |= only and not parts <= _LAYOUT | _GENERIC
+                names.append(token)
+    return (whole, frozenset(names)) if names else None
+
+
 class _Page:
     """Nodes in page order; ``stop[i]`` is the first node after the subtree of node i."""
 
@@ -85,6 +117,7 @@ class _Page:
         self.pieces: list[tuple[int, str | None]] = []  # node and text; no text: a block begins or ends
         open_, skipped, at, links = [0], 0, 0, 0
         self.link: list[bool] = [False]
+        self.suspects: dict[int, tuple[bool, frozenset[str]]] = {}
         end = len(page)
         while at < end:
             tag = _TAG.search(page, at)
@@ -144,6 +177,9 @@ class _Page:
             self.stop.append(0)
             self.link.append(name == "a" or self.link[open_[-1]])
             open_.append(len(self.tag) - 1)
+            suspect = _suspect(name, attributes)
+            if suspect:
+                self.suspects[open_[-1]] = suspect
             if name in _BLOCK:
                 self.pieces.append((open_[-1], None))
             elif name in ("td", "th"):
@@ -182,19 +218,20 @@ class _Page:
                 return
 
 
-def _root(page: _Page, sizes: list[int]) -> int:
-    """The node whose text is the main text."""
+def _densities(page: _Page, sizes: list[int], out: list[int]) -> tuple[list[int], list[float], list[float]]:
+    """Characters, density and sum of the children's densities of every node; those of ``out`` do not count."""
     n = len(page.tag)
-    chars, tags = sizes, [1] * n
-    link_chars = [size if link else 0 for size, link in zip(sizes, page.link, strict=True)]
-    link_tags = [int(tag == "a") for tag in page.tag]
+    chars = [0 if cut else size for size, cut in zip(sizes, out, strict=True)]
+    tags = [int(not cut) for cut in out]
+    link_chars = [size if link else 0 for size, link in zip(chars, page.link, strict=True)]
+    link_tags = [int(tag == "a" and not cut) for tag, cut in zip(page.tag, out, strict=True)]
     for i in range(n - 1, 0, -1):
         up = page.parent[i]
         chars[up] += chars[i]
         tags[up] += tags[i]
         link_chars[up] += link_chars[i]
         link_tags[up] += link_tags[i]
-    body = page.tag.index("body") if "body" in page.tag else 0
+    body = _body(page)
     ratio = link_chars[body] / max(1, chars[body])
     density, total = [0.0] * n, [0.0] * n
     for i in range(n - 1, -1, -1):
@@ -204,6 +241,66 @@ def _root(page: _Page, sizes: list[int]) -> int:
             density[i] = c / tags[i] * math.log(max(1.0, c / max(1, lc) * tags[i] / max(1, link_tags[i])) + 1) / max(1.0, math.log(base + 1))
         if i:
             total[page.parent[i]] += density[i]
+    return chars, density, total
+
+
+def _body(page: _Page) -> int:
+    return page.tag.index("body") if "body" in page.tag else 0
+
+
+def _within(page: _Page, nodes: set[int]) -> list[int]:
+    """By node, the outermost of ``nodes`` that it is or lies in, or 0."""
+    out = [0] * len(page.tag)
+    for i in range(1, len(out)):
+        out[i] = out[page.parent[i]] or (i if i in nodes else 0)
+    return out
+
+
+def _left_out(page: _Page, sizes: list[int]) -> list[int]:
+    """By node, the suspect whose subtree it is in and that is no part of an article, or 0."""
+    if not page.suspects:
+        return [0] * len(page.tag)
+    plain = _within(page, {i for i, tag in enumerate(page.tag) if tag in ("label", "legend", "a")})
+    plain = [0 if label else size for size, label in zip(sizes, plain, strict=True)]
+
+    def sums(out: list[int]) -> list[int]:
+        text = [0 if cut else size for size, cut in zip(plain, out, strict=True)]
+        for i in range(len(text) - 1, 0, -1):
+            text[page.parent[i]] += text[i]
+        return text
+
+    text = sums([0] * len(plain))
+    articles = [i for i, tag in enumerate(page.tag) if tag in ("article", "main") and i not in page.suspects and text[i]]
+    largest = max(articles, key=lambda i: (text[i], -i), default=0)
+    whole = {i for i, (only, _) in page.suspects.items() if only and page.tag[i] not in ("article", "main")}
+    whole = {i for i in whole if not i < largest < page.stop[i]}
+    out = _within(page, whole)
+    text = sums(out)
+    if not text[0]:
+        whole, out = set(), [0] * len(plain)
+        text = sums(out)
+    open_ = {i for i in page.suspects if not out[i] and page.tag[i] not in ("article", "main")}
+    if not open_:
+        return out
+    total = _densities(page, sizes, out)[2]
+    best = max((i for i in range(len(total)) if not out[i]), key=lambda i: (total[i], -i))
+    apart = [text[i] for i in {*_within(page, open_)} - {0}]
+    least = max(text[0] - sum(apart) + 1, max(apart) // 4)
+    articles = [i for i in articles if not out[i]]
+    kept = {
+        i for i in open_
+        if i <= best < page.stop[i] and text[i] or text[i] >= least
+        or bisect_left(articles, page.stop[i]) > bisect_left(articles, i)
+    }
+    layout = frozenset().union(*(page.suspects[i][1] for i in kept)) - {"form"}
+    kept |= {i for i in open_ if page.suspects[i][1] <= layout}
+    return _within(page, whole | open_ - kept)
+
+
+def _root(page: _Page, sizes: list[int], out: list[int]) -> int:
+    """The node whose text is the main text."""
+    n, body = len(page.tag), _body(page)
+    chars, density, total = _densities(page, sizes, out)
     best = max(range(n), key=lambda i: (total[i], -i))
     threshold, node = density[best], best
     while node > 0:
@@ -251,10 +348,14 @@ def main_text(page: str | None) -> str:
     for node, text in texts:
         if text:
             sizes[node] += len(text) if not text.isspace() else 0
-    root = _root(nodes, sizes)
+    out = _left_out(nodes, sizes)
+    root = _root(nodes, sizes, out)
     blocks: list[str] = []
     held: list[str] = []
     for node, text in texts:
+        cut = out[node]
+        if cut and (text is not None or node != cut or nodes.tag[cut] not in _BLOCK):
+            continue
         if text is None:
             blocks.append("".join(held))
             held = []

@@ -47,6 +47,44 @@ def test_odd_pages(html, text):
     assert main_text(html) == text
 
 
+WRAPPERS = [
+    "div class='content-sidebar-wrap'", "div class='site has-sidebar'", "div class='no-sidebar'", "div class='comment-open'", "div id='share-enabled'",
+    "div class='page-header-active'", "div class='widget'", "div role='dialog'", "form id='aspnetForm' action='/'", "section id='related-work'",
+]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("holder", ["article", "div"])
+def test_layout_named_like_a_notice(wrapper, holder):
+    blocks = [" ".join(random.Random(i).choices(WORDS, k=70)) for i in range(6)]
+    paragraphs = "".join(f"<p>{b}</p>" for b in blocks)
+    tag = wrapper.split()[0]
+    assert main_text(page(None, f"<{wrapper}><{holder}>{paragraphs}</{holder}></{tag}>")) == "\n\n".join(blocks)
+    assert main_text(f"<{wrapper}>{page(None, paragraphs)}</{tag}>") == "\n\n".join(blocks)
+    assert main_text(f"<body><{wrapper}><{holder}>{paragraphs}</{holder}><div class='ad'>Buy now</div></{tag}></body>") == "\n\n".join(blocks)
+
+
+def test_sections_of_one_layout_name_stay():
+    blocks = [" ".join(WORDS * n) for n in (5, 3, 1, 9)]
+    assert main_text("".join(f"<div class='row content-sidebar-wrap'><p>{b}</p></div>" for b in blocks)) == "\n\n".join(blocks)
+
+
+def test_ids_of_headings_and_topics():
+    text = " ".join(WORDS * 8)
+    parts = [("<h2 id='social-effects'>Social effects</h2>", "Social effects"), (f"<p id='notice'>{text}</p>", text), ("<h3 id='comments'>On comments</h3>", "On comments")]
+    parts += [(f"<section id='related-work'><h2>Related work</h2><p>{text}</p></section>", f"Related work\n\n{text}"), (f"<p>{text}</p>", text)]
+    html, blocks = zip(*parts, strict=True)
+    assert main_text(page(None, f"<div>{''.join(html)}</div>")) == "\n\n".join(blocks)
+
+
+def test_named_parts_beside_and_in_an_article_are_left_out():
+    text = " ".join(WORDS * 8)
+    inner = f"<p>{text}</p><div class='share-box'>Share</div><span class='ad'>Buy</span><form>Your mail <input></form><p>{text}</p>"
+    outer = "<div class='site-footer'>Imprint</div><div id='comments' class='comments-area'><article><p>No!</p></article></div>"
+    for holder in ("article", "div"):
+        assert main_text(f"<body><{holder}>{inner}</{holder}>{outer}</body>") == f"{text}\n\n{text}"
+
+
 def test_deep_and_long_pages():
     assert main_text("<div>" * 20_000 + "deep") == "deep"
     assert len(main_text("<p>" + "long " * 300_000)) == 1_499_999
