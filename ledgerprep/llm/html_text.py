@@ -15,7 +15,8 @@ of them (and a quarter of the largest): then they, and others of the same name,
 (``has-sidebar``), ids of headings and paragraphs, and ids of sections with other words do not count.
 
 Cases: a null or empty page, and one without text, gives an empty text; a page that breaks off is
-read to its end, without the tag or comment that is not closed; elements left open end with their
+read to its end, without the tag or comment that is not closed; a stray quote in a tag does not
+keep it open, nor does one that is never closed; elements left open end with their
 parent or the next of their kind; any nesting depth is read without recursion; each row gives one
 row.
 """
@@ -32,10 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# A quote opens only as the first letter of a value and if it is closed; elsewhere a tag ends at the next ">".
 _TAG = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(?:[!?]|/[^a-zA-Z>])[^>]*>|</>""",
+    r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+)?)?)*+)>"""
+    r"""|<(?:[!?]|/[^a-zA-Z>])[^>]*>|</>""",
     re.DOTALL,
 )
+_BROKEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _OPEN = re.compile(r"<[a-zA-Z/!?]")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|=|/|$)|aria-hidden\s*=\s*["']?true)""", re.IGNORECASE)
@@ -120,11 +124,9 @@ class _Page:
         self.suspects: dict[int, tuple[bool, frozenset[str]]] = {}
         end = len(page)
         while at < end:
-            tag = _TAG.search(page, at)
-            begin = tag.start() if tag else end
-            broken = _OPEN.search(page, at, begin)
-            if broken:  # a tag that is never closed
-                begin, tag = broken.start(), None
+            mark = _OPEN.search(page, at)
+            begin = mark.start() if mark else end
+            tag = _TAG.match(page, begin) or _BROKEN.match(page, begin)  # none: the page breaks off in it
             if begin > at and not skipped:
                 self.pieces.append((open_[-1], page[at:begin]))
             if tag is None:

@@ -47,6 +47,26 @@ def test_odd_pages(html, text):
     assert main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<p>if x <b it's so</p><p>more</p>", "if x\n\nmore"), ("<p>if x <b it's so</p><p>it's more</p>", "if x\n\nit's more"),
+        ("<p>a <a href=/o'neill>b</a> c</p><p>more</p>", "a b c\n\nmore"), ("<p>a <a href=/o'neill>b</a></p><p>it's more</p>", "a b\n\nit's more"),
+        ("<p>a <a href=\"/x>b</a></p><p>it's more</p>", "a b\n\nit's more"), ("<p>a</p \"><p>more</p>", "a\n\nmore"),
+        ("<p title = 'x > y' lang=en>a</p><p alt=\"it's > so\">b</p>", "a\n\nb"), ("<p =\">a</p><p>\"b\"</p>", "a\n\n\"b\""),
+        ("<p title='a'class=\"x>y\">a</p><p data-a=b\"c>b</p>", "a\n\nb"), ("<p title=>a</p><p>b <i 'x", "a\n\nb"),
+        ("<p>a</p><p title=\"x>b</p><p>c</p><i class=\"x", "a\n\nb\n\nc"),
+    ],
+)
+def test_quotes_in_tags(html, text):
+    assert main_text(html) == text
+
+
+def test_many_stray_quotes():
+    assert main_text("<p>a <b it's so</p>" * 20_000) == "\n\n".join(["a"] * 20_000)
+    assert main_text("<p>a</p><p title=\"" * 20_000).startswith("a")
+
+
 WRAPPERS = [
     "div class='content-sidebar-wrap'", "div class='site has-sidebar'", "div class='no-sidebar'", "div class='comment-open'", "div id='share-enabled'",
     "div class='page-header-active'", "div class='widget'", "div role='dialog'", "form id='aspnetForm' action='/'", "section id='related-work'",
