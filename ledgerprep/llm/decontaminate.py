@@ -9,8 +9,8 @@ A window is ``window`` consecutive words of an item; an item of fewer words, but
 window. The benchmark is read in blocks of at most about ``block_bytes`` of text, each broadcast
 once its size is known; with several blocks the documents are written and passed again.
 
-Cases: a null or empty text has no words and no hits; an item with a null id takes no part; items
-with one id count once; every row of the documents gets a result of its own, also repeated ones,
+Cases: a null or empty text has no words and no hits; an item with a null id hits words and
+can be the longest match, but is not named (``unnamed`` says that one occurs); items with one id count once; every row of the documents gets a result of its own, also repeated ones,
 and keeps all its columns whatever their names; an empty benchmark hits nothing.
 """
 
@@ -34,7 +34,7 @@ BLOCK_BYTES = 16 << 20
 
 MATCH = (
     "struct<n_words: bigint, hits: array<struct<begin: int, stop: int>>, items: array<bigint>,"
-    " longest: int, longest_item: bigint, longest_at: int>"
+    " unnamed: boolean, longest: int, longest_item: bigint, longest_at: int>"
 )
 
 
@@ -45,17 +45,18 @@ class Block(NamedTuple):
     start: np.ndarray
     need: np.ndarray
     stop: np.ndarray
-    item: np.ndarray
+    item: np.ndarray  # a place in ``ids``
+    ids: list[int | None]
 
 
 def matches(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``row`` (all columns of the document) and ``match``: n_words, hits (merged spans of hit words),
-    items (ids with an occurring window) and the longest verbatim match of at least a window
+    items (ids with an occurring window), unnamed (a window of an item without an id occurs) and the longest verbatim match of at least a window
     (0 words if there is none), its item and its first word."""
     spark = docs.sparkSession
     if not 1 <= window <= DEPTH:
         raise ValueError(f"a window has 1 to {DEPTH} words")
-    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna().dropDuplicates()
+    items = items.select(F.col("item_id").cast("long"), F.col("text").cast("string")).dropna(subset=["text"]).dropDuplicates()
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size * 2 // block_bytes)) if size > block_bytes else 1
     at = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
@@ -63,7 +64,7 @@ def matches(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int = W
         F.struct("*").alias("row"), F.col("text").cast("string").alias("text"), F.lit(None).cast(MATCH).alias("match")
     )
     for number in range(blocks):
-        rows = items.filter(at == number).orderBy("item_id", "text").toArrow()
+        rows = items.filter(at == number).orderBy(F.col("item_id").asc_nulls_last(), "text").toArrow()
         block = spark.sparkContext.broadcast(_block(rows, window))
         if number:
             out = scratch.keep(out, "zstd")
@@ -77,8 +78,10 @@ def _block(rows: pa.Table, window: int) -> Block:
     starts = np.where(count >= window, count - window + 1, np.minimum(count, 1))
     row = np.repeat(np.arange(len(count)), starts)
     start = words.first[row] + np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
+    ids = rows.column("item_id").to_pylist()
+    new = np.array([i > 0 and ids[i] != ids[i - 1] for i in range(len(ids))], dtype=np.int64)
     return Block(
-        words.hash, start, np.minimum(count, window)[row], words.first[row + 1], rows.column("item_id").to_numpy()[row]
+        words.hash, start, np.minimum(count, window)[row], words.first[row + 1], np.cumsum(new)[row], list(dict.fromkeys(ids))
     )
 
 
@@ -171,19 +174,19 @@ def _find(words: Words, block: Block) -> dict[int, tuple[list, set, int, int, in
         length[open_] += 1
     pairs = np.unique(np.stack([row, block.item[suffix]]), axis=1)
     for r, item in pairs.T.tolist():
-        out[r][1].add(item)
+        out[r][1].add(block.ids[item])
     best = np.lexsort((place, block.item[suffix], -length, row))
     best = best[np.append(True, row[best[1:]] != row[best[:-1]])]
     for r, n, item, at in zip(row[best].tolist(), length[best].tolist(), block.item[suffix[best]].tolist(), place[best].tolist(), strict=True):
-        out[r] = (*out[r][:2], n, item, at - int(words.first[r]))
+        out[r] = (*out[r][:2], n, block.ids[item], at - int(words.first[r]))
     return out
 
 
 def _merge(before: dict | None, count: int, found: tuple | None) -> dict:
-    before = before or {"hits": [], "items": [], "longest": 0, "longest_item": None, "longest_at": None}
+    before = before or {"hits": [], "items": [], "unnamed": False, "longest": 0, "longest_item": None, "longest_at": None}
     edges, items, longest, item, at = found or ([], set(), 0, 0, 0)
     spans: list[list[int]] = []
-    for begin, stop in sorted([*edges, *((s["begin"], s["stop"]) for s in before["hits"])]):
+    for begin, stop in sorted([*edges, *([s["begin"], s["stop"]] for s in before["hits"])]):
         if spans and begin <= spans[-1][1]:
             spans[-1][1] = max(stop, spans[-1][1])
         else:
@@ -191,7 +194,8 @@ def _merge(before: dict | None, count: int, found: tuple | None) -> dict:
     if longest > before["longest"]:
         before |= {"longest": longest, "longest_item": item, "longest_at": at}
     return before | {
-        "n_words": count, "hits": [{"begin": a, "stop": b} for a, b in spans], "items": sorted(items | set(before["items"])),
+        "n_words": count, "hits": [{"begin": a, "stop": b} for a, b in spans],
+        "items": sorted({*items, *before["items"]} - {None}), "unnamed": before["unnamed"] or None in items,
     }
 
 

@@ -55,6 +55,34 @@ def test_longest_match(spark, documents, scratch):
     assert [(h.begin, h.stop) for h in row.match.hits] == [(2, 27), (28, 48)]
 
 
+@pytest.mark.parametrize("block", [1 << 24, 300])
+def test_items_without_an_id_hit(spark, documents, scratch, block):
+    words = [f"w{i}" for i in range(60)]
+    items = [(None, " ".join(words[:20])), (None, " ".join(words[5:25])), (9, " ".join(words[30:45])), (1 << 60, " ".join(words[30:45])), (None, None)]
+    rows = [(1, " ".join(words[:26])), (2, " ".join(words)), (3, " ".join(words[28:])), (4, "other words")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = judged(matches(documents(rows), bench, scratch, block_bytes=block)).collect()
+    got = {r.row.doc_id: (r.n_hit, r.match["items"], r.match.unnamed, r.contaminated) for r in found}
+    assert got == {1: (25, [], True, True), 2: (40, [9, 1 << 60], True, True), 3: (15, [9, 1 << 60], False, True), 4: (0, [], False, False)}
+
+
+def test_query_counts_items_without_an_id(spark, documents, tmp_path):
+    import duckdb
+
+    from ledgerprep.llm.q_decontaminate import ORACLES, op3_decontaminate
+
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words[:26])), (2, " ".join(words)), (3, None), (4, "w30")]
+    items = [(None, " ".join(words[:20])), (9, " ".join(words[30:45])), (None, " ".join(words[30:45])), (10, "w2 w3")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(map(tuple, op3_decontaminate(spark, str(tmp_path)).collect()))
+    with duckdb.connect() as db:
+        for table in ("documents", "benchmark"):
+            db.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+        assert got == sorted(db.execute(ORACLES["op3_decontaminate"]).fetchall())
+
+
 def test_empty_tables(spark, documents, corpus, scratch):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in judged(matches(documents(corpus), bench, scratch)).collect()} == {0}
