@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerprep.llm import q_chat, q_decontaminate, q_html, q_jaccard, q_language, q_mixing, q_repeats, q_tokens, q_topk
+from ledgerprep.llm import (
+    q_bpe, q_chat, q_decontaminate, q_html, q_jaccard, q_language, q_mixing, q_repeats, q_tokens, q_topk,
+)
 
-_MODULES = (q_repeats, q_decontaminate, q_html, q_jaccard, q_language, q_mixing, q_topk, q_html, q_language, q_tokens, q_jaccard, q_chat)
+_MODULES = (
+    q_repeats, q_decontaminate, q_html, q_jaccard, q_language, q_mixing, q_topk, q_tokens, q_chat, q_bpe,
+)
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
