@@ -15,7 +15,8 @@ So one aggregate over these boundary nodes, by a digest of their sequence, merge
 Turns are told apart by a 128-bit digest of role and text, sequences by one of 256 bits. A turn that is
 more than a 64th of all rows is numbered by a broadcast of at most 64 rows, all others by a join. One
 conversation's numbers (12 bytes a turn) are held by a task, and about 80 bytes a turn of a shard, so the
-longest conversation is what bounds memory. The members that end at one node are hashed as a stream.
+longest conversation is what bounds memory. The members that end at one node are listed by ranges of them,
+and the lists hashed as a stream.
 
 Cases: a null conv_id, or one that is no whole number, is no conversation and is left out; a null role
 or text is empty; null turn numbers come first, equal ones are ordered by role and text; repeated rows
@@ -36,8 +37,9 @@ from pyspark.sql import functions as F
 
 from ledgerprep.session import Scratch
 
-#: Turns of a range shard, about.
+#: Turns of a range shard, about; a small table has fewer, so that all cores have a shard.
 SHARD_TURNS = 200_000
+LEAST_TURNS = 1000
 #: A turn with a larger share of all rows than one in this many is numbered without a shuffle.
 COMMON = 64
 
@@ -126,6 +128,25 @@ def sequences(conversations: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(_gathered(rows.join(common, "digest").select(*columns).unionByName(rare.select(*columns))))
 
 
+def _listed(keyed: DataFrame) -> DataFrame:
+    """key, conv (the first), n and listed: the members of a sequence in order, some at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, conv = batch.column("key"), batch.column("conv").to_pylist()
+            cuts = _runs(key)
+            spans = list(zip(cuts[:-1], cuts[1:], strict=True))
+            firsts = [a for a, _ in spans]
+            yield pa.RecordBatch.from_arrays(
+                [key.take(pa.array(firsts, pa.int64())), pa.array([conv[a] for a in firsts], pa.int64()), pa.array([b - a for a, b in spans], pa.int64()),
+                 pa.array([",".join(map(str, conv[a:b])).encode() for a, b in spans], pa.binary())],
+                names=["key", "conv", "n", "listed"],
+            )
+
+    ordered = keyed.select("key", "conv").repartitionByRange("key", "conv").sortWithinPartitions("key", "conv")
+    return ordered.mapInArrow(run, "key binary, conv long, n long, listed binary")
+
+
 def _members(keyed: DataFrame) -> DataFrame:
     """key, conv (the smallest), n and ends of every distinct sequence, from a stream of its members in order."""
 
@@ -138,22 +159,20 @@ def _members(keyed: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
         for batch in batches:
-            key, conv = batch.column("key"), batch.column("conv").to_pylist()
-            done, cuts = [], _runs(key)
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                listed = ",".join(map(str, conv[a:b])).encode()
-                if held and held[0] == key[a].as_py():
-                    held[2] += b - a
+            done = []
+            for key, conv, n, listed in zip(*(batch.column(c).to_pylist() for c in ("key", "conv", "n", "listed")), strict=True):
+                if held and held[0] == key:
+                    held[2] += n
                     held[3].update(b"," + listed)
                 else:
                     done += [held] if held else []
-                    held = [key[a].as_py(), conv[a], b - a, hashlib.sha256(listed)]
+                    held = [key, conv, n, hashlib.sha256(listed)]
             if done:
                 yield rows_of(done)
         if held:
             yield rows_of([held])
 
-    ordered = keyed.select("key", "conv").repartition("key").sortWithinPartitions("key", "conv")
+    ordered = _listed(keyed).repartition("key").sortWithinPartitions("key", "conv")
     return ordered.mapInArrow(run, "key binary, conv long, n long, ends string")
 
 
@@ -292,7 +311,8 @@ def prefix_trie(given: DataFrame, scratch: Scratch) -> DataFrame:
     keyed = scratch.keep(given.withColumn("key", F.unhex(F.sha2(text, 256))))
     distinct = scratch.keep(_members(keyed).join(keyed, ["key", "conv"]).drop("key"))
     total = distinct.agg(F.coalesce(F.sum(F.size("codes") + 1), F.lit(0))).first()[0]
-    ranges = distinct.repartitionByRange(max(1, -(-total // SHARD_TURNS)), "codes")
+    shards = max(-(-total // SHARD_TURNS), min(given.sparkSession.sparkContext.defaultParallelism, total // LEAST_TURNS), 1)
+    ranges = distinct.repartitionByRange(shards, "codes")
     placed = scratch.keep(ranges.withColumn("shard", F.spark_partition_id()))
     ordered = Window.orderBy("shard")  # one row for each shard
     common = "array_position(zip_with({}, {}, (x, y) -> coalesce(x = y, false)), false) - 1"

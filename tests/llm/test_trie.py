@@ -58,7 +58,7 @@ def spliced(rows):
     return out
 
 
-@pytest.mark.parametrize("seed, shard", [(1, 10**6), (2, 40), (3, 7), (4, 150)])
+@pytest.mark.parametrize("seed, shard", [(1, 10**6), (3, 7), (4, 150)])
 def test_against_nested_dictionaries(spark, tmp_path, monkeypatch, seed, shard):
     monkeypatch.setattr(trie, "SHARD_TURNS", shard)
     rng = random.Random(seed)
