@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,9 +41,10 @@ TOP = 50
 #: Sources compared at once, and kept rows of a bucket of terms.
 TILE = 128
 BUCKET_ROWS = 2_000_000
-#: Rows of counts a task gathers before it sends them on, and bytes of text counted at once.
-HELD_ROWS = 400_000
-_SLICE_BYTES = 4 << 20
+#: Rows of counts a task gathers before it sends them on, and bytes of their terms and of text counted at once.
+HELD_ROWS = 2_000_000
+_HELD_BYTES = 64 << 20
+_SLICE_BYTES = 8 << 20
 _CELLS = 1 << 20
 _BLOCK = 512
 
@@ -59,54 +61,79 @@ def terms_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Every term of every text in order, and the row of its text."""
     data, offsets = _bytes(texts)
     inside = _TERM[data]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    starts = offsets[:-1][offsets[:-1] < len(data)]
-    first[starts] = inside[starts]
+    edge = np.zeros(len(data) + 1, dtype=bool)
+    edge[1:-1] = inside[1:] != inside[:-1]
+    edge[offsets] = True
+    first, last = inside & edge[:-1], inside & edge[1:]
     begin = np.flatnonzero(first)
-    kept = np.flatnonzero(inside)
-    stops = np.append(np.searchsorted(kept, begin), len(kept)).astype(np.int64)
-    terms = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(stops), pa.py_buffer(_LOWER[data[kept]]))
+    stops = np.zeros(len(begin) + 1, dtype=np.int64)
+    np.cumsum(np.flatnonzero(last) + 1 - begin, out=stops[1:])
+    terms = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(stops), pa.py_buffer(_LOWER[data[inside]]))
     return terms, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(begin, offsets)))
 
 
-def counts(docs: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
-    """Occurrences and documents of the terms of every (lang, source), added up as far as a task can."""
+def _runs(ordered: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.append(len(ordered) > 0, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, dtype=np.int64)
+
+
+class _Held:
+    """Counts a task has gathered: terms by number, and n and docs by group and term number (high and low half of ``key``)."""
+
+    def __init__(self) -> None:
+        self.groups: dict[tuple, int] = {}
+        self.terms = pa.array([], pa.large_string())
+        self.key, self.n, self.docs = (np.zeros(0, dtype=np.int64) for _ in range(3))
+
+    def add(self, part: pa.RecordBatch) -> None:
+        terms, row = terms_of(part.column("text"))
+        pairs = zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)
+        group = np.array([self.groups.setdefault(g, len(self.groups)) for g in pairs], dtype=np.int64) << 32
+        coded = terms.dictionary_encode()
+        known = pc.index_in(coded.dictionary, value_set=self.terms)
+        fresh = coded.dictionary.filter(known.is_null())
+        number = known.fill_null(-1).to_numpy().astype(np.int64)
+        number[number < 0] = len(self.terms) + np.arange(len(fresh))
+        self.terms = pa.concat_arrays([self.terms, fresh])
+        index = coded.indices.to_numpy()
+        size = max(1, len(number))
+        each = np.sort(row * size + index)  # once for each document
+        each = each[_runs(each)]
+        of_docs = np.sort(group[each // size] + number[each % size])
+        of_all = np.sort(group[row] + number[index])
+        at = _runs(of_all)
+        n, docs = np.diff(np.append(at, len(of_all))), np.diff(np.append(_runs(of_docs), len(of_docs)))
+        key = np.append(self.key, of_all[at])
+        order = np.argsort(key, kind="stable")  # two sorted runs
+        key = key[order]
+        at = _runs(key)
+        self.key = key[at]
+        if len(at):
+            self.n, self.docs = (np.add.reduceat(np.append(x, y)[order], at) for x, y in ((self.n, n), (self.docs, docs)))
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        langs, sources = (pa.array([g[i] for g in self.groups], pa.string()) for i in (0, 1))
+        for at in range(0, len(self.key), 50_000):
+            some = slice(at, at + 50_000)
+            group, term = pa.array(self.key[some] >> 32), pa.array(self.key[some] & 0xFFFFFFFF)
+            yield pa.RecordBatch.from_arrays(
+                [langs.take(group), sources.take(group), self.terms.take(term).cast(pa.string()), pa.array(self.n[some]), pa.array(self.docs[some])],
+                names=["lang", "source", "term", "n", "docs"],
+            )
 
-    def merged(held: list[pa.Table]) -> pa.Table:
-        out = pa.concat_tables(held).group_by(["group", "term"]).aggregate([("n", "sum"), ("docs", "sum")])
-        return out.select(["group", "term", "n_sum", "docs_sum"]).rename_columns(["group", "term", "n", "docs"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple, int] = {}
-        held: list[pa.Table] = []
-
-        def send(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            names = list(groups)
-            columns = [pa.array([g[i] for g in names], pa.string()) for i in (0, 1)]
-            for part in table.combine_chunks().to_batches(max_chunksize=50_000):
-                some = part.column("group")
-                yield pa.RecordBatch.from_arrays(
-                    [*(c.take(some) for c in columns), part.column("term").cast(pa.string()), part.column("n"), part.column("docs")],
-                    names=["lang", "source", "term", "n", "docs"],
-                )
-            groups.clear()
-            held.clear()
+def counts(docs: DataFrame, held_rows: int = HELD_ROWS) -> DataFrame:
+    """Occurrences and documents of the terms of every (lang, source), added up as far as a task can hold them."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _Held()
         for batch in batches:
             for part in slices(batch, "text", _SLICE_BYTES):
-                terms, row = terms_of(part.column("text"))
-                of = [groups.setdefault(g, len(groups)) for g in zip(part.column("lang").to_pylist(), part.column("source").to_pylist(), strict=True)]
-                each = pa.table({"row": row, "term": terms}).group_by(["row", "term"]).aggregate([([], "count_all")])
-                group = np.array(of, dtype=np.int64)[each.column("row").to_numpy()]
-                one = pa.table({"group": group, "term": each.column("term"), "n": each.column("count_all"), "docs": np.ones(len(group), dtype=np.int64)})
-                held.append(merged([one]))
-                if sum(len(t) for t in held) > held_rows:
-                    held[:] = [merged(held)]
-                    if len(held[0]) > held_rows // 2 or held[0].nbytes > 8 * _SLICE_BYTES:
-                        yield from send(held[0])
-        if held:
-            yield from send(merged(held))
+                held.add(part)
+                if max(len(held.key), len(held.groups)) > held_rows or held.terms.nbytes > _HELD_BYTES:
+                    yield from held.batches()
+                    held = _Held()
+        yield from held.batches()
 
     return docs.select("lang", "source", "text").mapInArrow(run, _COUNTS)
 
@@ -150,21 +177,22 @@ def _share(n: Column, total: Column, v: Column) -> Column:
 class Audit:
     """Counts of a table of documents, from which both parts of the audit are made.
 
-    ``kept``: lang, source, term, term_no, n and lang_n of every kept term a group holds. ``groups``: lang,
+    ``kept``: lang, source, term, n and lang_n of every kept term a group holds. ``groups``: lang,
     source, its number ``at`` in the language, how many ``sources`` that has, v, total and lang_total, and
     the share ``base`` of a term it does not hold."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch, min_docs: int = MIN_DOCS, tile: int = TILE, bucket_rows: int = BUCKET_ROWS, held_rows: int = HELD_ROWS):
         self.tile, self.bucket_rows = tile, bucket_rows
         texts = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")))
-        partial = scratch.keep(counts(texts, held_rows), "zstd")
-        of_lang = partial.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-        terms = scratch.keep(of_lang.filter(F.col("docs") >= min_docs).drop("docs").withColumn("term_no", F.monotonically_increasing_id()))
-        held = partial.join(terms, ["lang", "term"]).groupBy("lang", "source", "term")
-        self.kept = scratch.keep(held.agg(F.first("term_no").alias("term_no"), F.sum("n").alias("n"), F.first("lang_n").alias("lang_n")))
-        langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
-        totals = self.kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-        groups = texts.select("lang", "source").distinct().join(langs, "lang", "left").join(totals, ["lang", "source"], "left")
+        each = counts(texts, held_rows).repartition("lang", "term").groupBy("lang", "source", "term")
+        term = Window.partitionBy("lang", "term")
+        each = each.agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        each = each.withColumn("lang_n", F.sum("n").over(term)).withColumn("lang_docs", F.sum("docs").over(term))
+        each = each.withColumn("leads", F.row_number().over(term.orderBy("source")) == 1)
+        self.kept = scratch.keep(each.filter(F.col("lang_docs") >= min_docs).drop("docs", "lang_docs"))
+        totals = self.kept.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count_if("leads").alias("leads"))
+        langs = totals.groupBy("lang").agg(F.sum("leads").alias("v"), F.sum("total").alias("lang_total"))
+        groups = texts.select("lang", "source").distinct().join(langs, "lang", "left").join(totals.drop("leads"), ["lang", "source"], "left")
         of = Window.partitionBy("lang")
         self.groups = scratch.keep(
             groups.fillna(0, ["v", "lang_total", "total"])
@@ -185,21 +213,21 @@ class Audit:
 
     def pairs(self) -> DataFrame:
         """lang, source, item, value and rank: every other source of the language, the most different first."""
-        buckets = max(1, -(-self.kept.count() // self.bucket_rows))
+        buckets = max(self.kept.sparkSession.sparkContext.defaultParallelism, -(-self.kept.count() // self.bucket_rows))
         tiles = F.explode(F.sequence(F.lit(0), F.floor((F.col("sources") - 1) / self.tile).cast("int")))
         own = F.floor(F.col("at") / self.tile).cast("int")
 
         def dealt(rows: DataFrame) -> DataFrame:
             both = rows.withColumn("other", tiles).withColumn("own", own)
-            return both.select("lang", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "bucket", "term_no", "at", "p")
+            return both.select("lang", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "bucket", "term", "at", "p")
 
         held = self.kept.join(self.groups, ["lang", "source"]).select(
-            "lang", "sources", F.pmod(F.xxhash64("term_no"), F.lit(buckets)).cast("int").alias("bucket"), "term_no", "at",
+            "lang", "sources", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "at",
             _share(F.col("n"), F.col("total"), F.col("v")).alias("p"),
         )
         bases = self.groups.select(
             "lang", "sources", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"),
-            F.lit(None).cast("long").alias("term_no"), "at", F.col("base").alias("p"),
+            F.lit(None).cast("string").alias("term"), "at", F.col("base").alias("p"),
         )
         cells = dealt(held).unionByName(dealt(bases)).groupBy("lang", "a", "b", "bucket")
         apart = cells.applyInArrow(_differences(self.tile), "lang string, i int, j int, apart long").groupBy("lang", "i", "j").agg(F.sum("apart").alias("apart"))
@@ -221,9 +249,8 @@ def _differences(tile: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(rows: pa.Table) -> pa.Table:
         lang, a, b = (rows.column(c)[0].as_py() for c in ("lang", "a", "b"))
-        no, at, p = (rows.column(c) for c in ("term_no", "at", "p"))
-        term = no.fill_null(-1).to_numpy()
-        at, p = at.to_numpy(), p.to_numpy()
+        term = rows.column("term").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+        at, p = (rows.column(c).to_numpy() for c in ("at", "p"))
         head = np.flatnonzero(term < 0)
         head = head[np.unique(at[head], return_index=True)[1]]
         sources, base = at[head], p[head]
