@@ -1,208 +1,67 @@
-"""Pairs of names within a block that reach a similarity threshold.
-
-Small blocks (at most ``DIRECT_NAMES`` names) are joined on the block; the bound keeps the
-work per name constant. Larger blocks are joined on segments: the longer name of a pair of
-length n may differ from the shorter by at most D(n) insertions and deletions, so of D(n) + 1
-segments of the longer name at least one stands unchanged in the shorter. Of these there is
-one with exactly i operations to its left, i being its number, and at most D - i to its right
-(Li, Deng, Wang, Feng: Pass-Join, 2011), which leaves few positions to look for it. The join is
-an equi-join on block, length, segment number and text and loses no pair; keys that many names
-share are split by adaptive skew handling like any hot join key. The prefix all names of a
-block share is left out of the segments, since it says nothing.
+"""Near pairs of names within a block, by tiles of bounded size.
+
+The names of a block are dealt into parts of about ``PART_NAMES``, and a task compares two parts: it
+holds no more than that, however large the block, and a block that holds much of the table is worked
+on by many tasks. Most blocks are one part and one tile. Names of a tile are compared as
+``functions.closeness`` does: bags of letters in one matrix product, then bit vectors for what is left.
+So no pair is made but those that reach the threshold, and each is scored once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerprep.functions.similarity import distance_budget, lcs_length, reaches
-
-DIRECT_NAMES = 1000
-SALTS = 64
-
-
-def _admissible(a: str, b: str, threshold: float) -> list[Column]:
-    """Lengths that can reach the threshold at all: the shorter text matched completely."""
-    size_a, size_b = F.col(f"{a}.size"), F.col(f"{b}.size")
-    return [reaches(F.least(size_a, size_b), size_a + size_b, threshold)]
-
-
-def _close(a: Column, b: Column, threshold: float) -> Column:
-    """Levenshtein distance within the budget. It never exceeds the number of insertions and
-    deletions, so no pair is lost; the bounded distance stops early."""
-    total = F.length(a) + F.length(b)
-    return F.call_function("levenshtein", a, b, distance_budget(total, threshold)) >= 0
-
-
-def confirm(pairs: DataFrame, threshold: float, scorer: str) -> DataFrame:
-    """Keep pairs (``a``, ``b`` with ``name_a``, ``name_b``) that reach the threshold.
-
-    Twice the Levenshtein distance bounds the insertions and deletions from above, so pairs
-    within half the budget need no further look; only the others go to Python."""
-    name_a, name_b = F.col("name_a"), F.col("name_b")
-    if scorer == "levenshtein":
-        return pairs
-    total = F.length(name_a) + F.length(name_b)
-    unsure = F.levenshtein(name_a, name_b) * 2 > distance_budget(total, threshold)
-    judged = pairs.withColumn("_UNSURE", unsure)
-    judged = judged.withColumn(
-        "_LCS", lcs_length(F.when(F.col("_UNSURE"), name_a), F.when(F.col("_UNSURE"), name_b))
-    )
-    return judged.where(~F.col("_UNSURE") | reaches(F.col("_LCS"), total, threshold)).drop(
-        "_UNSURE", "_LCS"
-    )
-
-
-def _pair_columns(left: str, right: str) -> list[Column]:
-    return [
-        F.col(f"{left}.vid").alias("a"),
-        F.col(f"{right}.vid").alias("b"),
-        F.col(f"{left}.name").alias("name_a"),
-        F.col(f"{right}.name").alias("name_b"),
-    ]
-
-
-def direct_pairs(names: DataFrame, threshold: float, scorer: str) -> DataFrame:
-    """Pairs of blocks of bounded size, the smaller id first."""
-    met = names.alias("l").join(
-        names.alias("r"),
-        [
-            F.col("l.block") == F.col("r.block"),
-            F.col("l.vid") < F.col("r.vid"),
-            *_admissible("l", "r", threshold),
-            _close(F.col("l.name"), F.col("r.name"), threshold),
-        ],
-    )
-    pairs = met.select(F.col("l.block").alias("block"), *_pair_columns("l", "r"))
-    return confirm(pairs, threshold, scorer)
-
-
-def salted_pairs(few: DataFrame, many: DataFrame, threshold: float, scorer: str) -> DataFrame:
-    """Pairs of a bounded number of names per block with any number of later ones.
-
-    The many are spread over ``SALTS`` parts of their block and the few are copied to each, so a
-    block that holds much of the table is worked on by many tasks."""
-    left = few.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    right = many.withColumn("salt", F.pmod(F.hash("vid"), F.lit(SALTS)))
-    met = left.alias("l").join(
-        right.alias("r"),
-        [
-            F.col("l.block") == F.col("r.block"),
-            F.col("l.salt") == F.col("r.salt"),
-            F.col("l.vid") < F.col("r.vid"),
-            *_admissible("l", "r", threshold),
-            _close(F.col("l.name"), F.col("r.name"), threshold),
-        ],
-    )
-    return confirm(met.select(*_pair_columns("l", "r")), threshold, scorer)
-
-
-def _segment_count(size: Column, shared: Column, threshold: float) -> Column:
-    """D(n) + 1 segments, or one empty segment where the name is too short to be cut so."""
-    wanted = distance_budget(size * 2, threshold) + 1
-    return F.when(wanted <= size - shared, wanted).otherwise(F.lit(0))
-
-
-def _bounds(rest: Column, count: Column, number: Column) -> tuple[Column, Column]:
-    """Start and length of a segment when ``rest`` letters are cut as evenly as possible, the
-    longer segments last."""
-    count = F.greatest(count, F.lit(1))
-    longer = rest % count
-    base, first_longer = F.floor(rest / count), count - longer
-    start = number * base + F.greatest(F.lit(0), number - first_longer)
-    return start, base + F.when(number >= first_longer, 1).otherwise(0)
-
-
-def index_keys(names: DataFrame, threshold: float) -> DataFrame:
-    """Segments of each name as the longer one of a pair."""
-    out = names.withColumn("count", _segment_count(F.col("size"), F.col("shared"), threshold))
-    out = out.withColumn(
-        "number", F.explode(F.sequence(F.lit(0), F.greatest(F.col("count") - 1, F.lit(0))))
-    )
-    start, width = _bounds(F.col("size") - F.col("shared"), F.col("count"), F.col("number"))
-    text = F.when(F.col("count") == 0, "").otherwise(
-        F.substr("name", (F.col("shared") + start + 1).cast("int"), width.cast("int"))
-    )
-    return out.select(
-        "block", F.col("size").alias("longer"), "number", text.alias("segment"), "vid", "name", "size"
-    )
-
-
-def probe_keys(names: DataFrame, threshold: float, scorer: str) -> DataFrame:
-    """Texts of each name, as the shorter one of a pair, that may be a segment of the longer.
-
-    One row per admissible length, segment and shift. With insertions and deletions alone the
-    shift of segment i has the parity of i."""
-    longest = F.floor(F.col("size") * F.lit((200.0 - threshold) / threshold) + 1e-9).cast("int")
-    out = names.withColumn("longer", F.explode(F.sequence("size", longest)))
-    out = out.withColumns(
-        {
-            "count": _segment_count(F.col("longer"), F.col("shared"), threshold),
-            "budget": distance_budget(F.col("longer") + F.col("size"), threshold),
-            "delta": F.col("size") - F.col("longer"),
-        }
-    )
-    out = out.withColumn(
-        "number", F.explode(F.sequence(F.lit(0), F.greatest(F.col("count") - 1, F.lit(0))))
-    )
-    number, right = F.col("number"), F.col("budget") - F.col("number")
-    low = F.greatest(-number, F.col("delta") - right)
-    high = F.least(number, F.col("delta") + right)
-    if scorer == "levenshtein":
-        step = 1
-    else:
-        step = 2
-        low = low + F.pmod(low + number, F.lit(2))
-    out = out.withColumns({"low": low, "high": high}).where((F.col("low") <= F.col("high")))
-    out = out.withColumn("shift", F.explode(F.sequence("low", "high", F.lit(step))))
-    start, width = _bounds(F.col("longer") - F.col("shared"), F.col("count"), number)
-    out = out.withColumns(
-        {
-            "start": F.when(F.col("count") == 0, 0).otherwise((start + F.col("shift")).cast("int")),
-            "width": F.when(F.col("count") == 0, 0).otherwise(width.cast("int")),
-        }
-    )
-    rest = F.col("size") - F.col("shared")
-    out = out.where((F.col("start") >= 0) & (F.col("start") + F.col("width") <= rest))
-    text = F.when(F.col("count") == 0, "").otherwise(
-        F.substr("name", F.col("shared") + F.col("start") + 1, F.col("width"))
-    )
-    return out.select("block", "longer", "number", text.alias("segment"), "vid", "name", "size")
-
-
-def _segment_join(
-    longer: DataFrame, shorter: DataFrame, threshold: float, scorer: str, order: Column, strict: bool
-) -> DataFrame:
-    key = ["block", "longer", "number", "segment"]
-    sizes = F.col("l.size") > F.col("s.size") if strict else F.col("l.size") >= F.col("s.size")
-    return (
-        index_keys(longer, threshold)
-        .alias("l")
-        .join(
-            probe_keys(shorter, threshold, scorer).alias("s"),
-            [
-                *[F.col(f"l.{k}") == F.col(f"s.{k}") for k in key],
-                order,
-                sizes,
-                *_admissible("l", "s", threshold),
-                _close(F.col("l.name"), F.col("s.name"), threshold),
-            ],
-        )
-    )
-
-
-def segment_pairs(
-    left: DataFrame, right: DataFrame, threshold: float, scorer: str
-) -> DataFrame:
-    """Pairs with the smaller id in ``left`` and the larger in ``right``, for blocks of any size.
-
-    Either may be the longer name, so the join is made both ways."""
-    left_longer = _segment_join(
-        left, right, threshold, scorer, F.col("l.vid") < F.col("s.vid"), strict=False
-    ).select(*_pair_columns("l", "s"))
-    right_longer = _segment_join(
-        right, left, threshold, scorer, F.col("s.vid") < F.col("l.vid"), strict=True
-    ).select(*_pair_columns("s", "l"))
-    met = left_longer.unionByName(right_longer).dropDuplicates(["a", "b"])
-    return confirm(met, threshold, scorer)
+from ledgerprep.functions.closeness import Names
+
+PART_NAMES = 4096
+
+
+def with_parts(vertices: DataFrame, part_names: int = PART_NAMES) -> DataFrame:
+    """The rows (block, vid, name) with the number of ``parts`` of their block, and the ``part`` they are in."""
+    blocks = vertices.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / part_names).cast("int").alias("parts"))
+    return vertices.join(blocks, "block").withColumn("part", F.pmod(F.xxhash64("vid"), F.col("parts")).cast("int"))
+
+
+def _tiles(parted: DataFrame, compare: Callable[[tuple, pa.Table], pa.Table], schema: str) -> DataFrame:
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    dealt = parted.select("block", "part", "vid", "name", other.alias("other"))
+    tiles = dealt.groupBy("block", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    return tiles.applyInArrow(lambda key, rows: compare(key, rows), schema)
+
+
+def _sides(key: tuple, rows: pa.Table) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
+    """vids and names of a tile in order, and the rows of its one part twice or of its two."""
+    rows = rows.sort_by("vid")
+    part, (_, a, b) = rows.column("part").to_numpy(), key
+    return rows.column("vid").to_numpy(), rows.column("name").to_pylist(), *(np.flatnonzero(part == x.as_py()) for x in (a, b))
+
+
+def near_pairs(parted: DataFrame, threshold: float, scorer: str) -> DataFrame:
+    """All pairs a, b (a < b) of one block that reach the threshold, with their score."""
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        vid, texts, left, right = _sides(key, rows)
+        found = list(Names(texts, threshold, scorer).pairs(left, right, key[1] == key[2]))
+        if not found:
+            return pa.table({"a": vid[:0], "b": vid[:0], "score": np.zeros(0)})
+        i, j, score = (np.concatenate(c) for c in zip(*found, strict=True))
+        a, b = vid[i], vid[j]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "score": score})
+
+    return _tiles(parted, compare, "a long, b long, score double")
+
+
+def links(parted: DataFrame, threshold: float, scorer: str) -> DataFrame:
+    """Of the near pairs a, b of each block enough to connect all that they connect: fewer than a tile has names."""
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        vid, texts, left, right = _sides(key, rows)
+        i, j = Names(texts, threshold, scorer).forest(left, right)
+        return pa.table({"a": vid[np.array(i, dtype=np.int64)], "b": vid[np.array(j, dtype=np.int64)]})
+
+    return _tiles(parted, compare, "a long, b long")

@@ -5,30 +5,30 @@
 3. Names are clustered by a greedy rule: in row order, a name not yet absorbed leads a group
    and absorbs all later similar names of its block.
 
-The outcome of 3 is the lexicographically first maximal independent set of the similarity
-graph with every other name assigned to its smallest neighbour in it. Blocks of bounded size
-are settled by one ordered pass over their edges; for larger ones the set is found in rounds of
-joins (Blelloch, Fineman, Shun 2012), of which the driver reads one small figure each.
+A block of bounded size is settled by one task in one pass over its names. A larger one is first split
+into its connected components: tasks compare two parts of it each and send on only links that connect
+something new. A component is settled like a small block; one that is too large as well is settled
+from its first names on, whose leaders absorb all later ones before the next names are looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerprep.functions.similarity import similarity
+from ledgerprep.functions.closeness import ROWS, Names
 from ledgerprep.functions.text import is_blank, matching_tax_key, strip, strip_legal_form
-from ledgerprep.operators.candidates import DIRECT_NAMES, direct_pairs, salted_pairs, segment_pairs
+from ledgerprep.operators.candidates import PART_NAMES, links, near_pairs, with_parts
+from ledgerprep.operators.components import components
 from ledgerprep.operators.ordered import place, running_sum
-from ledgerprep.session import cut
+from ledgerprep.session import Scratch, cut
 
 BLOCKING = ("none", "first_char", "first_3_chars", "postal_code_2", "province")
 THRESHOLD = 85.0
-FIRST_WINDOW = 128
 _EMPTY_BLOCK = "_empty_"
 
 
@@ -127,166 +127,93 @@ def _vertices(names: DataFrame) -> DataFrame:
         names.where(F.col("name") != "")
         .groupBy("block", "name")
         .agg(F.min("rep").alias("vid"))
-        .withColumn("size", F.length("name"))
     )
 
 
-def _block_table(vertices: DataFrame) -> DataFrame:
-    """Names per block and the number of leading letters all of them share, which is what the
-    first and the last in alphabetical order share."""
-    both = F.concat(F.min("name"), F.lit("\x01"), F.max("name"))
-    return vertices.groupBy("block").agg(
-        F.count(F.lit(1)).alias("names"),
-        F.length(F.regexp_extract(both, "(?s)^(.*).*\x01\\1", 1)).alias("shared"),
-    )
+def fuzzy_pairs(
+    names: DataFrame, threshold: float = THRESHOLD, scorer: str = "indel", part_names: int = PART_NAMES
+) -> DataFrame:
+    """All pairs of collapsed names of one block that reach the threshold: a, b and their score."""
+    return near_pairs(with_parts(_vertices(names), part_names), threshold, scorer)
 
 
-def _split_by_size(
-    vertices: DataFrame, direct_names: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """Names of blocks up to the bound, and of larger blocks (none if there are no such blocks).
+_TAKEN = "vid long, leader long, score double"
 
-    The driver reads the size of the largest block. The table of large blocks is as long as
-    there are such blocks; Spark picks the join by its measured size."""
-    blocks = _block_table(vertices)
-    largest = blocks.agg(F.max("names")).first()[0]
-    if largest is None or largest <= direct_names:
-        return vertices, None
-    large = blocks.where(F.col("names") > direct_names).drop("names")
-    return (
-        vertices.join(large.select("block"), "block", "left_anti"),
-        cut(vertices.join(large, "block")),
-    )
 
+def _settle(units: DataFrame, threshold: float, scorer: str) -> DataFrame:
+    """The greedy rule in each unit (block, root) of a bounded number of names: names that are led, by whom,
+    and the score."""
 
-def fuzzy_pairs(
-    names: DataFrame,
-    threshold: float = THRESHOLD,
-    scorer: str = "indel",
-    direct_names: int = DIRECT_NAMES,
-) -> DataFrame:
-    """All pairs of collapsed names of one block that reach the threshold, with their score."""
-    small, large = _split_by_size(cut(_vertices(names)), direct_names)
-    pairs = direct_pairs(small, threshold, scorer).drop("block")
-    if large is not None:
-        pairs = pairs.unionByName(segment_pairs(large, large, threshold, scorer))
-    return pairs.withColumn("score", similarity(F.col("name_a"), F.col("name_b"), scorer))
-
-
-def absorbed_by_rounds(edges: DataFrame) -> DataFrame | None:
-    """Vertices (``v``) of the edges ``a`` < ``b`` that are not in the lexicographically first
-    maximal independent set.
-
-    A round takes the vertices without a smaller undecided neighbour, absorbs their neighbours
-    and drops the edges of both. ``edges`` is a written table."""
-    found = []
-    while not edges.isEmpty():
-        inner = edges.select(F.col("b").alias("a")).distinct()
-        roots = edges.join(inner, "a", "left_anti")
-        gone = cut(roots.select(F.col("b").alias("v")).distinct())
-        found.append(gone)
-        edges = cut(
-            edges.join(gone.withColumnRenamed("v", "b"), "b", "left_anti").join(
-                gone.withColumnRenamed("v", "a"), "a", "left_anti"
-            )
-        )
-    return reduce(DataFrame.unionByName, found) if found else None
-
-
-def _assign(edges: DataFrame, absorbed: DataFrame | None) -> DataFrame:
-    """Smallest leading neighbour of every absorbed vertex."""
-    if absorbed is not None:
-        edges = edges.join(absorbed.withColumnRenamed("v", "a"), "a", "left_anti")
-    pick = F.min(F.struct("a", "name_a", "name_b")).alias("_pick")
-    return edges.groupBy("b").agg(pick).select(
-        F.col("b").alias("vid"),
-        F.col("_pick.a").alias("leader"),
-        F.col("_pick.name_a").alias("name_a"),
-        F.col("_pick.name_b").alias("name_b"),
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("vid")
+        vid = rows.column("vid").to_numpy()
+        leader, score = Names(rows.column("name").to_pylist(), threshold, scorer).led()
+        led = leader != np.arange(len(vid))
+        return pa.table({"vid": vid[led], "leader": vid[leader[led]], "score": score[led]})
+
+    return units.select("block", "root", "vid", "name").groupBy("block", "root").applyInArrow(run, _TAKEN)
+
+
+def _absorb(leaders: DataFrame, later: DataFrame, threshold: float, scorer: str) -> DataFrame:
+    """Of the ``later`` names of each unit, dealt into parts, those near to a leader, with the first such."""
+    columns = ["block", "root", "part", "vid", "name"]
+    parts = later.select("block", "root", "part").distinct()
+    both = later.select(*columns, F.lit(False).alias("leads")).unionByName(
+        leaders.drop("part").join(parts, ["block", "root"]).select(*columns, F.lit(True).alias("leads"))
     )
 
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("vid")
+        vid, leads = rows.column("vid").to_numpy(), rows.column("leads").to_numpy()
+        texts = Names(rows.column("name").to_pylist(), threshold, scorer)
+        first, others = np.flatnonzero(leads), np.flatnonzero(~leads)
+        found = [texts.first_near(first, others[at : at + ROWS]) for at in range(0, len(others), ROWS)]
+        row, leader, score = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (others, others, others * 0.0)
+        return pa.table({"vid": vid[row], "leader": vid[leader], "score": score})
+
+    return both.groupBy("block", "root", "part").applyInArrow(run, _TAKEN)
 
-def _greedy(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The greedy rule on edges that arrive block by block, in order of both ends."""
-    block, absorbed = None, set()
-    for edges in batches:
-        kept = []
-        for here, a, b in zip(edges["block"], edges["a"], edges["b"]):
-            if here != block:
-                block, absorbed = here, set()
-            # All edges to a came earlier, so whether it leads is settled by now.
-            kept.append(a not in absorbed and b not in absorbed)
-            if kept[-1]:
-                absorbed.add(b)
-        yield edges[kept]
-
-
-def _cluster_small(small: DataFrame, threshold: float, scorer: str) -> DataFrame:
-    """Clusters of blocks of bounded size: the edges of a block, at most half the square of the
-    bound, are put in order in one partition and read once."""
-    edges = direct_pairs(small, threshold, scorer)
-    sorted_edges = edges.repartition("block").sortWithinPartitions("block", "a", "b")
-    taken = sorted_edges.mapInPandas(_greedy, edges.schema)
-    return taken.select(F.col("b").alias("vid"), F.col("a").alias("leader"), "name_a", "name_b")
-
-
-def _cluster_large(
-    large: DataFrame, threshold: float, scorer: str, direct_names: int
-) -> list[DataFrame]:
-    """Clusters of large blocks without the full edge table.
-
-    The names of a block are taken in windows of their order. Within a window the leaders are
-    found from its own edges; they then absorb every later name that is similar, in one join.
-    A block of near copies is thus done after its first window, and the number of edges held at
-    a time stays near the number of names. Windows grow while edges are few and shrink when
-    they are many; each leaves fewer names to look at. A window of bounded size is compared
-    directly, as the work per name is constant; a larger one by segments."""
-    order = [F.asc("vid")]
-    placed = place(large, order, by=["block"])
-    left = cut(running_sum(placed, F.lit(1), order, "pos", by=["block"]))
+
+def _settle_large(left: DataFrame, threshold: float, scorer: str, part_names: int) -> list[DataFrame]:
+    """The greedy rule in units too large for a task. Each round settles the first names of every unit, whose
+    leaders then absorb all later names near to them, part by part; a crowd of near copies is done in one."""
+    order, unit = [F.asc("vid")], ["block", "root"]
     done: list[DataFrame] = []
-    width = first_window = min(direct_names, FIRST_WINDOW)
-    while True:
-        start = left.agg(F.min("pos")).first()[0]
-        if start is None:
-            return done
-        window = left.where(F.col("pos") < start + width)
-        later = left.where(F.col("pos") >= start + width)
-        bounded, dense = width <= direct_names, False
-        if bounded:
-            taken = cut(_cluster_small(window, threshold, scorer))
-        else:
-            edges = cut(segment_pairs(window, window, threshold, scorer))
-            taken = cut(_assign(edges, absorbed_by_rounds(edges.select("a", "b"))))
-            dense = edges.count() > 4 * window.count()
-        done.append(taken)
-        leaders = window.join(taken.select("vid"), "vid", "left_anti")
-        meet = salted_pairs if bounded else segment_pairs
-        hits = cut(_assign(meet(leaders, later, threshold, scorer), None))
-        done.append(hits)
-        left = cut(later.join(hits.select("vid"), "vid", "left_anti"))
-        width = max(first_window, width // 4) if dense else width * 4
+    while not left.isEmpty():
+        placed = running_sum(place(left, order, by=unit), F.lit(1), order, "pos", by=unit)
+        parted = cut(placed.withColumn("part", F.floor((F.col("pos") - 1) / part_names)).drop("pos"))
+        head, later = parted.where("part = 0"), parted.where("part > 0")
+        taken = cut(_settle(head, threshold, scorer))
+        hits = cut(_absorb(head.join(taken, "vid", "left_anti"), later, threshold, scorer))
+        done += [taken, hits]
+        left = cut(later.join(hits, "vid", "left_anti").drop("part"))
+    return done
 
 
 def leader_clusters(
-    names: DataFrame,
-    threshold: float = THRESHOLD,
-    scorer: str = "indel",
-    direct_names: int = DIRECT_NAMES,
+    names: DataFrame, threshold: float = THRESHOLD, scorer: str = "indel", part_names: int = PART_NAMES
 ) -> DataFrame:
-    """Collapsed names with the name row that leads them (``leader``) and the score to it."""
-    vertices = cut(_vertices(names))
-    small, large = _split_by_size(vertices, direct_names)
-    parts = [_cluster_small(small, threshold, scorer)]
-    if large is not None:
-        parts += _cluster_large(large, threshold, scorer, direct_names)
-    taken = reduce(DataFrame.unionByName, parts)
-    scored = taken.select(
-        "vid",
-        "leader",
-        similarity(F.col("name_a"), F.col("name_b"), scorer).alias("_score"),
-    )
-    led = vertices.select("block", "name", "vid").join(scored, "vid", "left")
+    """Collapsed names with the name row that leads them (``leader``) and the score to it.
+
+    A unit is a set of names that no near pair leaves: a block, or where a task cannot hold that, a
+    connected part of it. A task settles a unit in one pass over its names. The driver reads the number of
+    parts of the largest block, and whether a connected part is larger than a task holds."""
+    vertices = with_parts(_vertices(names), part_names).withColumn("root", F.lit(-1).cast("long"))
+    vertices = cut(vertices)
+    parts = [_settle(vertices.where("parts = 1"), threshold, scorer)]
+    if (vertices.agg(F.max("parts")).first()[0] or 1) > 1:
+        crowded = vertices.where("parts > 1")
+        scratch = Scratch(names.sparkSession)
+        linked = components(links(crowded, threshold, scorer), scratch)
+        # Names without a near one lead themselves and are in no unit.
+        roots = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
+        units = cut(crowded.select("block", "vid", "name").join(roots.withColumnRenamed("node", "vid"), "vid"))
+        scratch.drop()
+        sizes = units.groupBy("block", "root").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > part_names).drop("n")
+        parts.append(_settle(units.join(sizes, ["block", "root"], "left_anti"), threshold, scorer))
+        parts += _settle_large(units.join(sizes, ["block", "root"], "left_semi"), threshold, scorer, part_names)
+    taken = reduce(DataFrame.unionByName, parts).withColumnRenamed("score", "_score")
+    led = vertices.select("block", "name", "vid").join(taken, "vid", "left")
     return (
         names.join(led, ["block", "name"], "left")
         .select(
@@ -310,7 +237,7 @@ def find_duplicates(
     threshold: float = THRESHOLD,
     blocking: str = "first_3_chars",
     scorer: str = "indel",
-    direct_names: int = DIRECT_NAMES,
+    part_names: int = PART_NAMES,
 ) -> DataFrame:
     """Members of all groups of two or more rows, one row per member.
 
@@ -321,7 +248,7 @@ def find_duplicates(
     keyed = cut(
         exact_key_groups(matching_rows(df, row_id, name, tax_id, postal, province, blocking))
     )
-    clusters = leader_clusters(collapse_names(keyed), threshold, scorer, direct_names)
+    clusters = leader_clusters(collapse_names(keyed), threshold, scorer, part_names)
     first = F.col("row_id") == F.col("key_rep")
     columns = ["row_id", "value", "rep", "leader", "score"]
     named = keyed.where(first & F.col("name_key").isNotNull()).join(

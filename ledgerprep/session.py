@@ -67,6 +67,7 @@ class Scratch:
         self.spark = spark
         self.folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
         self._count = 0
+        self._places: dict[int, tuple[DataFrame, str]] = {}
         atexit.register(self.drop)
 
     def path(self) -> str:
@@ -77,24 +78,43 @@ class Scratch:
         """Write ``df`` once and go on from the written table."""
         path = self.path()
         df.write.option("compression", codec).parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self._places[id(kept)] = (kept, path)
+        return kept
+
+    def forget(self, kept: DataFrame) -> None:
+        """Delete one table this scratch wrote, when nothing reads it any more."""
+        _, path = self._places.pop(id(kept))
+        self._delete(path)
 
     def drop(self) -> None:
         atexit.unregister(self.drop)
+        self._places.clear()
         try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(self.folder)
-            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+            self._delete(self.folder)
         except Exception:  # noqa: BLE001  the session has ended before
             pass
 
+    def _delete(self, folder: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
 
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     Later readers neither recompute it nor depend on the executors that made it, read only the
-    columns they need, and Spark knows its true size when it picks a join."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    columns they need, and Spark knows its true size when it picks a join. The copies of a session lie
+    in one folder, which goes when the driver ends or with ``drop_cuts``."""
+    sc = df.sparkSession.sparkContext
+    if getattr(sc, "_ledgerprep_cuts", None) is None:
+        sc._ledgerprep_cuts = Scratch(df.sparkSession)
+    return sc._ledgerprep_cuts.keep(df)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Delete all copies ``cut`` made in this session: for a long one, when its results are written."""
+    scratch = getattr(spark.sparkContext, "_ledgerprep_cuts", None)
+    if scratch is not None:
+        scratch.drop()
+        spark.sparkContext._ledgerprep_cuts = None

@@ -1,13 +1,20 @@
 """Matching and clustering, against literal cases and a plain loop on random names."""
 
 import random
+from pathlib import Path
 
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from ledgerprep.functions import closeness
 from ledgerprep.functions.similarity import similarity
 from ledgerprep.functions.text import strip_legal_form
-from ledgerprep.operators import candidates, entity
+from ledgerprep.operators import entity
+from ledgerprep.operators.components import components
+from ledgerprep.session import Scratch, cut, drop_cuts
 
 
 def lcs(a, b):
@@ -168,7 +175,7 @@ def expected_clusters(names, threshold, scorer, prefix):
     ],
 )
 def test_clusters_equal_the_greedy_loop(table, seed, threshold, scorer, blocking, prefix, limit):
-    """``limit`` 8 and 16 send the blocks through the windowed path for large blocks."""
+    """``limit`` 8 and 16 split blocks into components, some of which are larger than a task may hold."""
     names = list(dict.fromkeys(random_names(seed, 90)))
     df = table({"N": names})
     clean = [r[0] for r in df.orderBy("row_id").select(strip_legal_form(F.col("N"))).collect()]
@@ -181,25 +188,69 @@ def test_clusters_equal_the_greedy_loop(table, seed, threshold, scorer, blocking
         assert r["score"] == pytest.approx(100 if a == b else score_of(a, b, scorer))
 
 
-@pytest.mark.parametrize("scorer, threshold", [("indel", 85.0), ("indel", 62.0), ("levenshtein", 80.0), ("indel", 40.0)])
-def test_segment_join_loses_no_pair(table, scorer, threshold):
+@pytest.mark.parametrize("scorer, threshold, part", [("indel", 85.0, 4096), ("indel", 62.0, 20), ("levenshtein", 80.0, 3), ("indel", 40.0, 64)])
+def test_tiles_lose_no_pair(table, scorer, threshold, part):
     names = list(dict.fromkeys(random_names(11, 220)))
     df = table({"N": names})
     keyed = entity.exact_key_groups(entity.matching_rows(df, "row_id", "N"))
-    pairs = entity.fuzzy_pairs(entity.collapse_names(keyed), threshold, scorer, direct_names=2)
-    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    pairs = entity.fuzzy_pairs(entity.collapse_names(keyed), threshold, scorer, part_names=part).collect()
     clean = {}
     for i, n in enumerate(r[0] for r in df.orderBy("row_id").select(strip_legal_form(F.col("N"))).collect()):
         clean.setdefault(n, i)
     items = sorted((i, n) for n, i in clean.items())
     want = {
-        (i, j) for i, a in items for j, b in items
+        (i, j): score_of(a, b, scorer) for i, a in items for j, b in items
         if i < j and a[:3] == b[:3] and score_of(a, b, scorer) >= threshold
     }
-    assert got == want
+    assert {(r["a"], r["b"]): r["score"] for r in pairs} == pytest.approx(want) and len(pairs) == len(want)
 
 
-def test_absorbing_rounds_on_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(7)], "a long, b long")
-    got = entity.absorbed_by_rounds(edges)
-    assert sorted(r["v"] for r in got.collect()) == [1, 3, 5, 7]
+TEXTS = st.text(alphabet="AAABBCÉ 漢", min_size=1, max_size=20) | st.text(alphabet="ABC", min_size=60, max_size=70)
+
+
+@given(st.lists(TEXTS, min_size=1, max_size=12, unique=True), st.sampled_from([40.0, 75.0, 85.0, 100.0]), st.sampled_from(["indel", "levenshtein"]))
+@settings(max_examples=150, deadline=None)
+def test_names_compared_in_a_task(texts, threshold, scorer):
+    names, every = closeness.Names(texts, threshold, scorer), np.arange(len(texts))
+    got = {(int(i), int(j)): s for part in names.pairs(every, every, True) for i, j, s in zip(*part, strict=True)}
+    want = {(i, j): s for i in every.tolist() for j in range(i + 1, len(texts)) if (s := score_of(texts[i], texts[j], scorer)) >= threshold}
+    assert got == pytest.approx(want)
+    leader = expected_clusters(texts, threshold, scorer, 0)
+    assert dict(enumerate(names.led()[0].tolist())) == leader
+
+    def parts(pairs):
+        root = list(range(len(texts)))
+        for i, j in pairs:
+            a, b = root[i], root[j]
+            root = [min(a, b) if x in (a, b) else x for x in root]
+        return root
+
+    assert parts(zip(*names.forest(every, every), strict=True)) == parts(want)
+
+
+def test_many_letters_need_no_tables(monkeypatch):
+    monkeypatch.setattr(closeness, "SYMBOLS", 2)
+    names = closeness.Names(["ABCDEF", "ABCDEG", "ZZZZ"], 80.0, "levenshtein")
+    assert [x.tolist() for x in names.near(*names.candidates(np.arange(3), np.arange(3)))[:2]] == [[0, 0, 1, 1, 2], [0, 1, 0, 1, 2]]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components(spark, seed):
+    rng = random.Random(seed)
+    edges = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(i, i + 1) for i in range(100, 140)]
+    root = {}
+    for a, b in edges * len(edges):
+        least = min(root.get(a, a), root.get(b, b))
+        root[a] = root[b] = least
+    scratch = Scratch(spark)
+    got = components(spark.createDataFrame(edges, "a long, b long"), scratch)
+    assert {r["node"]: r["root"] for r in got.collect()} == {n: r for n, r in root.items() if n != r}
+    scratch.drop()
+
+
+def test_copies_of_a_session_are_dropped(spark):
+    kept = cut(spark.range(3))
+    folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+    assert folder.exists()
+    drop_cuts(spark)
+    assert not folder.exists() and cut(spark.range(2)).count() == 2
