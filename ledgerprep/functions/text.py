@@ -54,21 +54,26 @@ def is_blank(c: Column) -> Column:
 
 
 # The last one, two or three words of a name, where blanks or a dot part words.
-_LAST_WORDS = {n: rf"(?U)\b\w+(?:(?:\s+\.?\s*|\.\s*)\w+){{{n - 1}}}\s*\.?\s*$" for n in (3, 2, 1)}
+_LAST_WORDS = [rf"(?U)\b\w+(?:(?:\s+\.?\s*|\.\s*)\w+){{{n - 1}}}\s*\.?\s*$" for n in (3, 2, 1)]
+_LAST_LETTERS = sorted({form[-1] for form in fv.LEGAL_FORMS + fv.LEGAL_FORMS_SPELLED})
+
+
+def _is_legal_form(end: Column) -> Column:
+    short = F.regexp_replace(end, r"(?U)[.\s]+", "").isin(fv.LEGAL_FORMS)
+    return short | F.regexp_replace(strip(end), r"(?U)\s+", " ").isin(fv.LEGAL_FORMS_SPELLED)
 
 
 def strip_legal_form(c: Column) -> Column:
     """Company name in upper case without its legal form and without edge punctuation.
 
     The longest end of up to three words that is a legal form goes: without dots and blanks it is
-    an abbreviation, or with single blanks a form spelled out."""
+    an abbreviation, or with single blanks a form spelled out. Only names whose last letter can
+    end a form are matched, and each end of those once."""
     upper = F.upper(strip(raw_text(c)))
-    cut = upper
-    for n in (1, 2, 3):
-        end = F.regexp_extract(upper, _LAST_WORDS[n], 0)
-        short = F.regexp_replace(end, r"(?U)[.\s]+", "").isin(fv.LEGAL_FORMS)
-        spelled = F.regexp_replace(strip(end), r"(?U)\s+", " ").isin(fv.LEGAL_FORMS_SPELLED)
-        cut = F.when(short | spelled, F.left(upper, F.length(upper) - F.length(end))).otherwise(cut)
+    ends = F.array(*[F.regexp_extract(upper, pattern, 0) for pattern in _LAST_WORDS])
+    may_end = F.right(F.rtrim(upper, F.lit(fv.WHITESPACE + ".")), F.lit(1)).isin(_LAST_LETTERS)
+    form = F.when(may_end, F.get(F.filter(ends, _is_legal_form), F.lit(0)))
+    cut = F.left(upper, F.length(upper) - F.coalesce(F.length(form), F.lit(0)))
     return F.btrim(cut, F.lit(fv.WHITESPACE + ",.-/"))
 
 

@@ -134,7 +134,7 @@ def fuzzy_pairs(
     names: DataFrame, threshold: float = THRESHOLD, scorer: str = "indel", part_names: int = PART_NAMES
 ) -> DataFrame:
     """All pairs of collapsed names of one block that reach the threshold: a, b and their score."""
-    return near_pairs(with_parts(_vertices(names), part_names), threshold, scorer)
+    return near_pairs(with_parts(cut(_vertices(names)), part_names), threshold, scorer)
 
 
 _TAKEN = "vid long, leader long, score double"
@@ -197,12 +197,16 @@ def leader_clusters(
 
     A unit is a set of names that no near pair leaves: a block, or where a task cannot hold that, a
     connected part of it. A task settles a unit in one pass over its names. The driver reads the number of
-    parts of the largest block, and whether a connected part is larger than a task holds."""
-    vertices = with_parts(_vertices(names), part_names).withColumn("root", F.lit(-1).cast("long"))
-    vertices = cut(vertices)
-    parts = [_settle(vertices.where("parts = 1"), threshold, scorer)]
-    if (vertices.agg(F.max("parts")).first()[0] or 1) > 1:
-        crowded = vertices.where("parts > 1")
+    names of the largest block, and whether a connected part is larger than a task holds."""
+    vertices = cut(_vertices(names))
+    blocks = vertices.withColumn("root", F.lit(-1).cast("long"))
+    largest = vertices.groupBy("block").count().agg(F.max("count")).first()[0] or 0
+    if largest <= part_names:
+        parts = [_settle(blocks, threshold, scorer)]
+    else:
+        blocks = cut(with_parts(blocks, part_names))
+        parts = [_settle(blocks.where("parts = 1"), threshold, scorer)]
+        crowded = blocks.where("parts > 1")
         scratch = Scratch(names.sparkSession)
         linked = components(links(crowded, threshold, scorer), scratch)
         # Names without a near one lead themselves and are in no unit.
