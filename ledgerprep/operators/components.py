@@ -3,7 +3,7 @@
 Every round hangs the larger neighbours of a node, and then its smaller ones, below the smallest
 of them (Kiveris and others 2014). The edges end as stars around the smallest node of each component,
 in a number of rounds that grows with the logarithm of the graph, not with its edges. The driver
-sees two numbers a round, and a round's table is deleted when the next is written.
+sees two numbers a round, and a round's table and shuffles are deleted when the next is written.
 """
 
 from __future__ import annotations
@@ -33,3 +33,4 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         hung = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(smallest.select("a", F.col("m").alias("b")))
         now = scratch.keep(hung.filter("a <> b").distinct())
         scratch.forget(last)
+        scratch.sweep()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -87,6 +88,14 @@ class Scratch:
         _, path = self._places.pop(id(kept))
         self._delete(path)
 
+    def sweep(self) -> None:
+        """Let Spark delete the shuffle files of jobs that are done.
+
+        It does so when the driver's JVM finds that nothing refers to them any more, which with a small
+        heap in use may be long after: a run of many rounds would keep the files of all."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self) -> None:
         atexit.unregister(self.drop)
         self._places.clear()
