@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerprep.llm.components import components
+from ledgerprep.operators.components import components
 from ledgerprep.llm.words import BLANK, Words, mix, run_hash, signed, slices, words_of
 from ledgerprep.session import Scratch
 
@@ -342,10 +342,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80
             break
         seed += 1
     families = components(shared_groups(docs, k, num, den, seed), scratch)
+    scratch.sweep()
     roots = families.select(F.col("root").alias("node"), "root").distinct()
     members = families.unionByName(roots).select("node", F.col("root").alias("family")).join(sets.select("node", "n"), "node")
     members = scratch.keep(_leaves(members.select("family", "node", "n")))
     texts = scratch.keep(_texts_of(docs, sets.join(members.select("node"), "node")), "zstd")
+    scratch.sweep()
 
     def links(placed: DataFrame) -> DataFrame:
         some = placed.select("leaf", "family", "node", "component", "side").join(texts, "node")
@@ -355,6 +357,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80
         return placed.withColumn("component", F.col("node")).withColumn("side", F.lit(0))
 
     edges = scratch.keep(links(single(members)))
+    scratch.sweep()
     linked = edges.filter("NOT head").select("a", "b")
     # Families of several leaves: their components' heads are compared, again in leaves.
     spread = members.groupBy("family").agg(F.countDistinct("leaf").alias("leaves")).filter("leaves > 1").select("family")
@@ -366,6 +369,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80
             break
         before = count
         edges = scratch.keep(links(single(heads)))
+        scratch.sweep()
         linked = linked.unionByName(edges.filter("NOT head").select("a", "b"))
         heads = edges.filter("head").select(F.col("a").alias("node")).join(heads.drop("leaf"), "node")
     joined = components(linked, scratch)
@@ -375,6 +379,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80
         tiles = _tiles(placed, scratch, num, den)
         more = links(tiles).filter("NOT head").select("a", "b")
         joined = components(linked.unionByName(scratch.keep(more)), scratch)
+    scratch.sweep()
     root = F.coalesce("root", "node")
     least = sets.join(joined, "node", "left").groupBy(root.alias("root")).agg(F.min("doc_id").alias("component_id"))
     named = sets.select("node").join(joined, "node", "left").select("node", root.alias("root")).join(least, "root")
