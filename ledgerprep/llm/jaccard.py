@@ -236,13 +236,24 @@ def _leaves(members: DataFrame, *order: str) -> DataFrame:
     return ranged.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema) + ", leaf long")
 
 
+def _sets(group: pa.Table, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sets of all texts of a leaf. Finding words takes many times a text's size, so it is done a slice at a time."""
+    values, ends = [], [np.zeros(1, dtype=np.int64)]
+    for batch in group.select(["text"]).combine_chunks().to_batches():
+        for part in slices(batch, "text"):
+            value, at = sets_of(words_of(part.column("text"), BLANK, lower=True), k, seed)
+            values.append(value)
+            ends.append(at[1:] + ends[-1][-1])
+    return np.concatenate(values), np.concatenate(ends)
+
+
 def _link(group: pa.Table, k: int, num: int, den: int, seed: int) -> pa.Table:
     """Links of the members (family, node, component, side, text) of a leaf, or of two leaves.
 
     With two sides only pairs of both count. A row with ``head`` names the member of a component that overlaps
     most with the others of it."""
     group = group.sort_by([("family", "ascending"), ("node", "ascending"), ("side", "ascending")])
-    value, at = sets_of(words_of(group.column("text").combine_chunks(), BLANK, lower=True), k, seed)
+    value, at = _sets(group, k, seed)
     family, node = group.column("family").to_numpy(), group.column("node").to_numpy()
     component, side = group.column("component").to_numpy(), group.column("side").to_numpy()
     row = np.repeat(np.arange(len(node)), np.diff(at))
