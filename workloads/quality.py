@@ -12,7 +12,7 @@ from ledgerprep.operators import profile
 from ledgerprep.plans.cleanse import ROW_ID, Options, run_cleansing
 from ledgerprep.plans.premigration import merge_duplicates, readiness_table, run_premigration, write_package
 from ledgerprep.session import shared_folder
-from ledgerprep.sources.csv import read_table
+from ledgerprep.sources.csv import read_table, rejected_records
 from workloads import manufacturing
 from workloads import oracle_rules as rules
 from workloads import partner as partners
@@ -95,16 +95,50 @@ def _written(df, spark, name=None, mode="error", encoding="utf-8"):
     return path
 
 
-_QUOTED = "concat(NAME, CASE row_id % 4 WHEN 0 THEN chr(10) || 'second; line' WHEN 1 THEN ' \"so\" named' ELSE '' END)"
+_QUOTED = "concat(coalesce(NAME, ''), CASE row_id % 4 WHEN 0 THEN chr(10) || 'second; line' WHEN 1 THEN ' \"so\" named' ELSE '' END)"
 
 
 def csv_scan_quoted(spark, folder):
     """Names with line breaks, separators and quotes inside, in every fourth row each."""
-    rows = derive(spark, folder, "partner").filter("NAME IS NOT NULL AND NAME <> ''").selectExpr("row_id", f"{_QUOTED} AS NAME", "COUNTRY")
+    rows = derive(spark, folder, "partner").selectExpr("row_id", f"{_QUOTED} AS NAME", "COUNTRY")
     return read_table(spark, _written(rows, spark))
 
 
-QUOTED_SQL = f"SELECT CAST(row_id AS varchar) AS row_id, {_QUOTED} AS NAME, COUNTRY FROM ({PARTNER}) WHERE NAME <> ''"
+QUOTED_SQL = f"SELECT CAST(row_id AS varchar) AS row_id, nullif({_QUOTED}, '') AS NAME, COUNTRY FROM ({PARTNER})"
+
+
+def csv_scan_numbered(spark, folder):
+    """The same in several files in order, with the number of each record over all files."""
+    rows = derive(spark, folder, "partner").selectExpr("row_id", f"{_QUOTED} AS NAME", "COUNTRY")
+    path = _written(rows.repartitionByRange(5, "row_id").sortWithinPartitions("row_id"), spark)
+    return read_table(spark, path, row_id="number")
+
+
+NUMBERED_SQL = f"""SELECT row_number() OVER (ORDER BY row_id) - 1 AS number, CAST(row_id AS varchar) AS row_id,
+    nullif({_QUOTED}, '') AS NAME, COUNTRY FROM ({PARTNER})"""
+_LAST = 25
+
+
+def csv_unclosed_quote(spark, folder):
+    """A file whose quote opens in one of the last rows and never closes: that record holds all after it."""
+    rows = derive(spark, folder, "partner").select("row_id", "COUNTRY")
+    last = rows.agg(F.max("row_id")).first()[0]
+    mark = F.when(F.col("row_id") == last - _LAST, '"never closed').when(F.col("row_id") % 3 == 0, '"a\nb"').otherwise(F.col("COUNTRY"))
+    lines = rows.select("row_id", F.concat_ws(";", "row_id", mark).alias("line"))
+    head = spark.range(1).select(F.lit(-1).cast("long").alias("row_id"), F.lit("row_id;COUNTRY").alias("line"))
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    lines.unionByName(head).where(f"row_id % 3 <> 0 OR row_id <= {last - _LAST}").coalesce(1).sortWithinPartitions("row_id").select("line").write.text(path)
+    kept = read_table(spark, path, surplus="skip").agg(
+        F.lit("kept").alias("kind"), F.count_if(F.col("COUNTRY").contains("\n")).alias("broken"), F.count(F.lit(1)).cast("string").alias("row_id")
+    )
+    gone = rejected_records(spark, path).select(F.lit("rejected").alias("kind"), F.lit(0).cast("long").alias("broken"), F.sha2("record", 256).alias("row_id"))
+    return kept.unionByName(gone)
+
+
+UNCLOSED_SQL = f"""WITH src AS ({PARTNER}), l AS (SELECT row_id, max(row_id) OVER () - {_LAST} AS open, COUNTRY FROM src)
+    SELECT 'kept' AS kind, count(*) FILTER (row_id % 3 = 0) AS broken, CAST(count(*) AS varchar) AS row_id FROM l WHERE row_id < open
+    UNION ALL SELECT 'rejected', 0, sha256(string_agg(row_id || ';' || CASE WHEN row_id = open THEN '"never closed' ELSE COUNTRY END, chr(10) ORDER BY row_id))
+      FROM l WHERE row_id = open OR row_id > open AND row_id % 3 <> 0"""
 
 
 def csv_scan_mixed_encoding(spark, folder):
@@ -253,6 +287,8 @@ PAIRS = {
     ),
     "csv_scan": (csv_scan, CSV_SQL),
     "csv_scan_quoted": (csv_scan_quoted, QUOTED_SQL),
+    "csv_scan_numbered": (csv_scan_numbered, NUMBERED_SQL),
+    "csv_unclosed_quote": (csv_unclosed_quote, UNCLOSED_SQL),
     "csv_scan_mixed_encoding": (csv_scan_mixed_encoding, MIXED_SQL),
     "csv_scan_wide_header": (csv_scan_wide_header, WIDE_SQL),
     "cleanse_run": (
