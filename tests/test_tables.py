@@ -1,6 +1,7 @@
 """Rules, costing, inventory, profiles, schema checks, mapping, files and merging."""
 
 import json
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,9 @@ from ledgerprep.operators import (
 )
 from ledgerprep.plans.cleanse import Options
 from ledgerprep.plans.premigration import merge_duplicates, readiness_table, run_premigration, write_package
+from ledgerprep.sources import sinks
 from ledgerprep.sources.csv import detect_dialect, read_table, rejected_records
+from ledgerprep.sources.sinks import MANIFEST, read_package
 
 
 def rows(df, key="row_id"):
@@ -323,6 +326,32 @@ def test_premigration_package(spark, table, tmp_path):
     assert read_table(spark, f"{folder}/staging").columns == list(fv.TEMPLATES[fv.BUSINESS_PARTNER])
     assert spark.read.parquet(f"{folder}/audit").where("step = 'quarantine'").first()["row_count"] == 1
     assert spark.read.json(f"{folder}/duplicates").count() == 2 and read_table(spark, f"{folder}/inventory").count() == 2
+    tables = read_package(spark, folder)
+    assert set(tables) == {"clean", "rejected", "audit", "readiness", "staging", "duplicates", "inventory", "costing"}
+    assert tables["clean"].count() == 2 and tables["staging"].count() == 2
+    with pytest.raises(FileExistsError):
+        write_package(result, folder, merged=True)
+    next(Path(f"{folder}/clean").glob("part-*")).write_text("cut off")
+    with pytest.raises(OSError, match="clean"):
+        read_package(spark, folder)
+
+
+def test_package_of_an_ended_run_is_not_read(spark, table, tmp_path, monkeypatch):
+    df = table({"PARTNER_ID": ["1", "2"], "NAME": ["Aceros", "Otra"], "TAX_ID": ["12345678Z", "bad"]})
+    options = Options({"PARTNER_ID": "text", "NAME": "text", "TAX_ID": "tax_id"}, template=fv.BUSINESS_PARTNER, row_id="row_id")
+    result, folder = run_premigration(df, options), str(tmp_path / "package")
+    write_package(result, folder)
+    counted = json.loads((tmp_path / "package" / MANIFEST).read_text())["tables"]
+    assert {n: t["rows"] for n, t in counted.items()} == {"clean": 1, "rejected": 1, "audit": result.audit.count(), "readiness": 1, "staging": 1}
+
+    def ended(*_):
+        raise RuntimeError("ended")
+
+    monkeypatch.setattr(sinks, "write_audit", ended)
+    with pytest.raises(RuntimeError):
+        write_package(result, folder, mode="overwrite")
+    with pytest.raises(FileNotFoundError, match="no finished package"):
+        read_package(spark, folder)
 
 
 def test_empty_quarantine_keeps_its_header(spark, table, tmp_path):

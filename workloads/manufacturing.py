@@ -318,6 +318,9 @@ ALERTS_SQL = f"""WITH {DATED} SELECT * FROM (SELECT row_id, MATERIAL AS material
     UNION ALL SELECT * FROM (SELECT row_id, MATERIAL, 'obsolete', {_MONTHS} || ': ' || LAST_MOVEMENT_DATE
       FROM dated WHERE {_OBSOLETE} ORDER BY {_MONTHS} DESC, row_id LIMIT 10)"""
 
+COST_COLUMNS = ("COST_BOM", "COST_ROUTING", "COST_TOTAL_CALC", "COST_LOADED", "DEVIATION_ABS", "DEVIATION_PCT")
+PACKED_COST_SQL = f"WITH {COST_CTE} SELECT MATERIAL, " + ", ".join(f"round({c}, 2) AS {c}" for c in COST_COLUMNS) + ", DEV_STATUS, DEV_DIRECTION FROM classed"
+
 PAIRS = {
     "mm_rules": (_rules("material", fv.MATERIAL_MASTER), "WITH " + _material_found() + _SHOW),
     "bom_rules": (_rules("bom_raw", fv.BILL_OF_MATERIALS, COMPLEX_ABOVE), "WITH " + _bom_found() + _SHOW),

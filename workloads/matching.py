@@ -85,6 +85,33 @@ def fuzzy_pairs_indel(spark, folder):
     return _pairs(spark, folder, "indel")
 
 
+def blocking_keys(spark, folder):
+    """The block of every partner by each way of blocking."""
+    rows = None
+    for blocking in ("first_char", "postal_code_2", "province", "none"):
+        one = entity.matching_rows(derive(spark, folder, "partner"), "row_id", "NAME", "TAX_ID", "POSTAL_CODE", "PROVINCE", blocking)
+        one = one.select("row_id", F.lit(blocking).alias("blocking"), "block")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def _blocking_sql() -> str:
+    blank = ("CASE WHEN {c} IS NULL OR trim({c}) IN " + rules.in_list(('', '-', 'nan', 'NaN', 'None')) + " THEN NULL ELSE {v} END")
+    bare = rules.suffixless("NAME")
+    by_name = "CASE WHEN bare = '' THEN '_empty_' ELSE substring(bare, 1, {n}) END"
+    digits = "regexp_replace(POSTAL_CODE, '[^0-9]', '', 'g')"
+    postal = blank.format(c="POSTAL_CODE", v=f"nullif(substring(CASE WHEN length({digits}) < 5 AND {digits} <> '' THEN lpad({digits}, 5, '0') ELSE {digits} END, 1, 2), '')")
+    province = "nullif(nullif(upper(trim(coalesce(PROVINCE, 'nan'))), ''), '-')"
+    ways = {
+        "first_char": by_name.format(n=1), "postal_code_2": f"coalesce({postal}, {by_name.format(n=3)})",
+        "province": f"coalesce({province}, {by_name.format(n=3)})", "none": "'_all_'",
+    }
+    named = blank.format(c="NAME", v="{v}")
+    return f"WITH s AS (SELECT *, {bare} AS bare FROM ({duckdb('partner')})) " + " UNION ALL ".join(
+        f"SELECT row_id, '{way}' AS blocking, {named.format(v=key)} AS block FROM s" for way, key in ways.items()
+    )
+
+
 def duplicate_members(spark, folder):
     return _members(spark, folder).select("group_id", "row_id", "match_type", "score")
 
@@ -181,6 +208,7 @@ PAIRS = {
     "block_sizes": (block_sizes, f"WITH {KEYED} SELECT block, CAST(sum(rows) AS bigint) AS rows, count(*) AS names FROM firsts GROUP BY 1"),
     "fuzzy_pairs_lev": (fuzzy_pairs_lev, PAIRS_SQL),
     "fuzzy_pairs_indel": (fuzzy_pairs_indel, INDEL_SQL),
+    "blocking_keys": (blocking_keys, _blocking_sql()),
     "duplicate_members": (duplicate_members, f"WITH {MEMBERS} SELECT group_id, row_id, match_type, 100.0::double AS score FROM members"),
     "duplicate_summary": (
         duplicate_summary,

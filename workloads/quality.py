@@ -13,6 +13,7 @@ from ledgerprep.plans.cleanse import ROW_ID, Options, run_cleansing
 from ledgerprep.plans.premigration import merge_duplicates, readiness_table, run_premigration, write_package
 from ledgerprep.session import shared_folder
 from ledgerprep.sources.csv import read_table, rejected_records
+from ledgerprep.sources.sinks import read_package
 from workloads import manufacturing
 from workloads import oracle_rules as rules
 from workloads import partner as partners
@@ -213,23 +214,75 @@ FULL_SQL = f"""{ACCEPTED}, kept AS (SELECT * FROM grouped WHERE row_id = g),
       (SELECT count(*) FROM dup) AS duplicate_groups, (SELECT CAST(count(*) + coalesce(sum(tax), 0) AS bigint) FROM dup) + (SELECT f FROM fz) AS records_affected FROM f"""
 
 
-def package_files(spark, folder):
-    """Rows in every folder a run writes, read back."""
-    result = run_premigration(derive(spark, folder, "partner"), _DEDUP, stock=derive(spark, folder, "stock"), stock_row_id="row_id")
+def _package(spark, folder) -> dict[str, DataFrame]:
+    """Tables of a package that a run writes, read back."""
+    result = run_premigration(
+        derive(spark, folder, "partner"), _DEDUP, derive(spark, folder, "master"), derive(spark, folder, "bom"),
+        derive(spark, folder, "routing"), derive(spark, folder, "stock"), "row_id",
+    )
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     write_package(result, path)
-    counts = None
-    for name in ("clean", "rejected", "staging", "inventory"):
-        one = read_table(spark, f"{path}/{name}").agg(F.count(F.lit(1)).alias("rows"))
-        one = one.select(F.lit(name).alias("file"), "rows")
+    return read_package(spark, path)
+
+
+def package_files(spark, folder):
+    """Rows of every table of a package."""
+    tables, counts = _package(spark, folder), None
+    for name in ("clean", "rejected", "staging", "inventory", "duplicates"):
+        one = tables[name].agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("file"), "rows")
         counts = one if counts is None else counts.unionByName(one)
-    report = spark.read.schema("group_id long, row_id long").json(f"{path}/duplicates")
-    return counts.unionByName(report.agg(F.count(F.lit(1)).alias("rows")).select(F.lit("duplicates").alias("file"), "rows"))
+    return counts
 
 
 FILES_SQL = f"""{ACCEPTED} SELECT 'clean' AS file, count(*) AS rows FROM ok UNION ALL SELECT 'staging', count(*) FROM ok
     UNION ALL SELECT 'rejected', count(CAMPO_AFECTADO) FROM marked UNION ALL SELECT 'inventory', count(*) FROM part
     UNION ALL SELECT 'duplicates', count(*) FROM grouped WHERE g IN (SELECT g FROM grouped GROUP BY 1 HAVING count(*) > 1)"""
+_REASONS = ("MOTIVO_RECHAZO", "CAMPO_AFECTADO", "SUGERENCIA")
+
+
+def package_clean(spark, folder):
+    return _package(spark, folder)["clean"].select(*partners.TYPES)
+
+
+def package_rejected(spark, folder):
+    return _package(spark, folder)["rejected"].select("PARTNER_ID", "NAME", "TAX_ID", "IBAN", *_REASONS)
+
+
+def package_staging(spark, folder):
+    return _package(spark, folder)["staging"]
+
+
+def package_duplicates(spark, folder):
+    return _package(spark, folder)["duplicates"].select("group_id", "row_id", "match_type", "value")
+
+
+def package_costing(spark, folder):
+    """Costs as the package holds them."""
+    cost = _package(spark, folder)["costing"]
+    return cost.select("MATERIAL", *[F.round(F.col(c).cast("double"), 2).alias(c) for c in manufacturing.COST_COLUMNS], "DEV_STATUS", "DEV_DIRECTION")
+
+
+def _as_read(columns) -> str:
+    return ", ".join(f"nullif({c}, '') AS {c}" for c in columns)
+
+
+CLEAN_SQL = f"{ACCEPTED} SELECT {_as_read(partners.TYPES)} FROM ok"
+REJECTED_SQL = f"{ACCEPTED} SELECT {_as_read(['PARTNER_ID', 'NAME', 'TAX_ID', 'IBAN', *_REASONS])} FROM marked WHERE CAMPO_AFECTADO IS NOT NULL"
+STAGED_SQL = f"{ACCEPTED} SELECT {', '.join(f"nullif(trim(coalesce({c}, '')), '') AS {c}" for c in fv.TEMPLATES[fv.BUSINESS_PARTNER])} FROM ok"
+REPORT_SQL = f"""{ACCEPTED}, n AS (SELECT x.*, y.NAME AS first_name FROM grouped x JOIN grouped y ON y.row_id = x.g)
+    SELECT g AS group_id, row_id, CASE WHEN row_id <> key_rep THEN 'tax_id' WHEN NAME = first_name OR row_id = g THEN 'primary' ELSE 'fuzzy' END AS match_type,
+      NAME AS value FROM n WHERE g IN (SELECT g FROM grouped GROUP BY 1 HAVING count(*) > 1)"""
+
+
+def table_profile(spark, folder):
+    """Rows, copies and columns of a table, with the empty cells of each column."""
+    table, columns = profile.table_profile(_texts(derive(spark, folder, "partner")))
+    return columns.select("column", "null_count").join(table)
+
+
+TABLE_SQL = f"""SELECT p."column", p.null_count, t.* FROM ({_null_sql(PARTNER, _COLUMNS)}) p,
+    (SELECT count(*) AS total_rows, count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM ({PARTNER}))) AS exact_duplicates,
+      {len(_COLUMNS)} AS total_columns FROM ({PARTNER})) t"""
 
 
 def audit_trail(spark, folder):
@@ -296,6 +349,12 @@ PAIRS = {
     ),
     "readiness": (full_run, FULL_SQL),
     "package_files": (package_files, FILES_SQL),
+    "package_clean": (package_clean, CLEAN_SQL),
+    "package_rejected": (package_rejected, REJECTED_SQL),
+    "package_staging": (package_staging, STAGED_SQL),
+    "package_duplicates": (package_duplicates, REPORT_SQL),
+    "package_costing": (package_costing, manufacturing.PACKED_COST_SQL),
+    "table_profile": (table_profile, TABLE_SQL),
     "audit_trail": (audit_trail, AUDIT_SQL),
     "clean_and_material_rules": (clean_and_material_rules, _material_run_sql()),
 }
