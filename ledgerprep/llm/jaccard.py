@@ -247,6 +247,12 @@ def _sets(group: pa.Table, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate(ends)
 
 
+def _counts(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Points of sets: how many shingles each of ``DIMS`` groups has."""
+    row, dim = np.repeat(np.arange(len(at) - 1), np.diff(at)), (value >> np.uint64(58)).astype(np.int64)
+    return np.bincount(row * DIMS + dim, minlength=(len(at) - 1) * DIMS).reshape(-1, DIMS).astype(np.int32)
+
+
 def _link(group: pa.Table, k: int, num: int, den: int, seed: int) -> pa.Table:
     """Links of the members (family, node, component, side, text) of a leaf, or of two leaves.
 
@@ -256,9 +262,7 @@ def _link(group: pa.Table, k: int, num: int, den: int, seed: int) -> pa.Table:
     value, at = _sets(group, k, seed)
     family, node = group.column("family").to_numpy(), group.column("node").to_numpy()
     component, side = group.column("component").to_numpy(), group.column("side").to_numpy()
-    row = np.repeat(np.arange(len(node)), np.diff(at))
-    dim = (value >> np.uint64(58)).astype(np.int64)
-    counts = np.bincount(row * DIMS + dim, minlength=len(node) * DIMS).reshape(-1, DIMS).astype(np.int32)
+    counts = _counts(value, at)
     edges: tuple[list, list, list] = ([], [], [])
     cuts = np.append(np.flatnonzero(np.append(True, family[1:] != family[:-1])), len(family))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -317,6 +321,12 @@ def _family(rows, value, at, counts, node, component, side, num, den, edges) ->
             ra, rb = root(int(own[a])), root(int(own[b]))
             if ra == rb:
                 continue
+            if value is None:  # points alone: what the bound lets through counts
+                up[max(ra, rb)] = min(ra, rb)
+                edges[0].append(int(names[a]))
+                edges[1].append(int(names[b]))
+                edges[2].append(False)
+                continue
             u, v = value[at[rows[a]] : at[rows[a] + 1]], value[at[rows[b]] : at[rows[b] + 1]]
             if len(u) > len(v):
                 u, v = v, u
@@ -387,6 +397,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80
     if before is not None:
         placed = members.join(spread, "family").drop("leaf").join(joined, "node", "left")
         placed = placed.select("family", "node", "n", F.coalesce("root", "node").alias("component"))
+        placed = _still_near(scratch.keep(placed), texts, scratch, k, num, den, seed)
         tiles = _tiles(placed, scratch, num, den)
         more = links(tiles).filter("NOT head").select("a", "b")
         joined = components(linked.unionByName(scratch.keep(more)), scratch)
@@ -425,6 +436,39 @@ def _texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return found.groupBy("node").agg(F.first("text").alias("text"))  # repeated rows come once
 
 
+def _still_near(placed: DataFrame, texts: DataFrame, scratch: Scratch, k: int, num: int, den: int, seed: int) -> DataFrame:
+    """The members (family, node, n, component) whose component may link with another by the bound of their points,
+    with such components as their families. Points are compared in tiles first, because a text is many times as long."""
+
+    def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                value, at = sets_of(words_of(part.column("text"), BLANK, lower=True), k, seed)
+                counts = _counts(value, at).astype("<u4")
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["node", "point"])
+
+    def near(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("family", "ascending"), ("node", "ascending"), ("side", "ascending")])
+        family, node, component, side, size = (group.column(c).to_numpy() for c in ("family", "node", "component", "side", "n"))
+        counts = np.frombuffer(b"".join(group.column("point").to_pylist()), dtype="<u4").reshape(-1, DIMS).astype(np.int32)
+        edges: tuple[list, list, list] = ([], [], [])
+        cuts = np.append(np.flatnonzero(np.append(True, family[1:] != family[:-1])), len(family))
+        at = np.append(0, np.cumsum(size))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            _family(np.arange(a, b), None, at, counts, node, component, side, num, den, edges)
+        of = dict(zip(node.tolist(), component.tolist(), strict=True))
+        pairs = [(of[x], of[y]) for x, y, head in zip(*edges, strict=True) if not head]
+        return pa.table([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    pointed = scratch.keep(texts.join(placed.select("node"), "node").select("node", "text").mapInArrow(points, "node long, point binary"), "zstd")
+    tiles = _tiles(placed, scratch, num, den).join(placed.select("node", "n"), "node").join(pointed, "node")
+    linked = components(tiles.groupBy("leaf").applyInArrow(near, "a long, b long"), scratch)
+    scratch.sweep()
+    families = linked.unionByName(linked.select(F.col("root").alias("node"), "root").distinct())
+    families = families.select(F.col("node").alias("component"), F.col("root").alias("family"))
+    return scratch.keep(placed.drop("family").join(families, "component").select("family", "node", "n", "component"))
+
+
 def _tiles(members: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
     """Pairs of leaves of a family, and leaves, that hold different components of sizes that can link.
 
