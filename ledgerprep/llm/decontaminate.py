@@ -2,8 +2,8 @@
 
 Each task makes suffix arrays of shards of its documents: the suffixes of all words, sorted to a
 depth of 16 words by doubling ranks. Every benchmark suffix that starts a window is binary-searched
-in each shard; the range it finds holds all places of that window. Matches are extended from
-there, and the longest one is kept with its place. Documents are not moved between tasks.
+in each shard, equal windows once; the range it finds holds all places of that window. Hit words of
+both sides are ranked together, which gives the longest match and its place without trying pairs. Documents are not moved between tasks.
 
 A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one
 window. The benchmark is read in blocks of at most about ``block_bytes`` of text, each broadcast
@@ -39,14 +39,19 @@ MATCH = (
 
 
 class Block(NamedTuple):
-    """Suffixes of some items that start a window: where in ``words``, how long, of which item."""
+    """Windows of some items. Equal windows are one ``kind``, searched once however often it occurs."""
 
     words: np.ndarray
-    start: np.ndarray
-    need: np.ndarray
-    stop: np.ndarray
+    ends: np.ndarray  # of the items in ``words``
+    start: np.ndarray  # of each window
+    kind: np.ndarray
     item: np.ndarray  # a place in ``ids``
     ids: list[int | None]
+    first: np.ndarray  # a window of each kind
+    need: np.ndarray  # words of each kind
+    group: np.ndarray  # of each kind: a place in ``groups``
+    groups: list[np.ndarray]  # sorted items that share a kind
+    window: int
 
 
 def matches(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -78,11 +83,39 @@ def _block(rows: pa.Table, window: int) -> Block:
     starts = np.where(count >= window, count - window + 1, np.minimum(count, 1))
     row = np.repeat(np.arange(len(count)), starts)
     start = words.first[row] + np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts)
+    need = np.minimum(count, window)[row]
     ids = rows.column("item_id").to_pylist()
     new = np.array([i > 0 and ids[i] != ids[i - 1] for i in range(len(ids))], dtype=np.int64)
-    return Block(
-        words.hash, start, np.minimum(count, window)[row], words.first[row + 1], np.cumsum(new)[row], list(dict.fromkeys(ids))
-    )
+    item, ids = np.cumsum(new)[row], list(dict.fromkeys(ids))
+    kind = _kinds(words.hash, start, need)
+    first = np.unique(kind, return_index=True)[1]
+    held = np.unique(kind * max(1, len(ids)) + item)
+    of_kind, held = held // max(1, len(ids)), held % max(1, len(ids))
+    edges = np.searchsorted(of_kind, np.arange(len(first) + 1))
+    groups = [np.array([i]) for i in range(len(ids))]
+    group = held[edges[:-1]]
+    numbers: dict[bytes, int] = {}
+    for k in np.flatnonzero(np.diff(edges) > 1).tolist():
+        shared = held[edges[k] : edges[k + 1]]
+        group[k] = numbers.setdefault(shared.tobytes(), len(groups))
+        if group[k] == len(groups):
+            groups.append(shared)
+    return Block(words.hash, words.first[1:], start, kind, item, ids, first, need[first], group, groups, window)
+
+
+def _kinds(text: np.ndarray, start: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Number of each window, equal for equal words: two spans of a power of two cover it."""
+    key = np.zeros((3, len(start)), dtype=np.int64)
+    rank, step = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
+    while len(start) and step <= need.max():
+        mine = (need >= step) & (need < 2 * step)
+        key[:, mine] = need[mine], rank[start[mine]], rank[start[mine] + need[mine] - step]
+        following = np.zeros(len(rank), dtype=np.int64)
+        following[:-step] = rank[step:]
+        rank = np.unique(rank * (len(rank) + 1) + following, return_inverse=True)[1].astype(np.int64)
+        step *= 2
+    whole = np.unique(key[1] * (len(text) + 1) + key[2], return_inverse=True)[1].astype(np.int64)
+    return np.unique(whole * (DEPTH + 1) + key[0], return_inverse=True)[1].astype(np.int64)
 
 
 def suffix_array(words: Words) -> np.ndarray:
@@ -100,16 +133,17 @@ def suffix_array(words: Words) -> np.ndarray:
 
 
 def _bounds(words: Words, order: np.ndarray, block: Block, beyond: bool) -> np.ndarray:
-    """First place in ``order`` not before (or, ``beyond``, after) each suffix of the block."""
-    low = np.zeros(len(block.start), dtype=np.int64)
-    high = np.full(len(block.start), len(order))
+    """First place in ``order`` not before (or, ``beyond``, after) each kind of window."""
+    start = block.start[block.first]
+    low = np.zeros(len(start), dtype=np.int64)
+    high = np.full(len(start), len(order))
     ends = words.first[words.row + 1]
     while True:
         open_ = np.flatnonzero(low < high)
         if not len(open_):
             return low
         middle = (low[open_] + high[open_]) // 2
-        place, wanted, need = order[middle], block.start[open_], block.need[open_]
+        place, wanted, need = order[middle], start[open_], block.need[open_]
         after = np.full(len(open_), not beyond)  # of an equal suffix
         todo = np.arange(len(open_))
         for depth in range(int(need.max())):
@@ -145,43 +179,141 @@ def _search(batches: Iterator[pa.RecordBatch], block: Block) -> Iterator[pa.Reco
 
 
 def _find(words: Words, block: Block) -> dict[int, tuple[list, set, int, int, int]]:
-    """By row: hit spans, items, and the longest match with its item and place."""
+    """By row: hit spans, items, and the longest match with its item and place.
+
+    A word starts at most one kind of window of each length, so the places found are at most
+    ``window`` times the words, also in texts and items of one repeated word."""
     order = suffix_array(words)
     low, high = _bounds(words, order, block, False), _bounds(words, order, block, True)
     times = high - low
-    suffix = np.repeat(np.arange(len(times)), times)
-    if not len(suffix):
+    kind = np.repeat(np.arange(len(times)), times)
+    if not len(kind):
         return {}
-    place = order[np.repeat(low, times) + np.arange(len(suffix)) - np.repeat(np.cumsum(times) - times, times)]
+    place = order[np.repeat(low, times) + np.arange(len(kind)) - np.repeat(np.cumsum(times) - times, times)]
     row = np.searchsorted(words.first, place, side="right") - 1
-    change = np.zeros(len(words.hash) + 1, dtype=np.int64)
-    np.add.at(change, place, 1)
-    np.add.at(change, place + block.need[suffix], -1)
-    hit = np.cumsum(change[:-1]) > 0
+    hit = _covered(len(words.hash), place, block.need[kind])
     out: dict[int, tuple[list, set, int, int, int]] = {}
     for r in np.unique(row).tolist():
         mine = np.concatenate(([False], hit[words.first[r] : words.first[r + 1]], [False]))
         edges = np.flatnonzero(mine[1:] != mine[:-1]).reshape(-1, 2).tolist()
         out[r] = (edges, set(), 0, 0, 0)
-    length = block.need[suffix].copy()
-    open_ = np.arange(len(suffix))
-    while len(open_):  # extend to the right
-        there = (place[open_] + length[open_] < words.first[row[open_] + 1]) & (
-            block.start[suffix[open_]] + length[open_] < block.stop[suffix[open_]]
-        )
-        open_ = open_[there]
-        open_ = open_[words.hash[place[open_] + length[open_]] == block.words[block.start[suffix[open_]] + length[open_]]]
-        length[open_] += 1
-    pairs = np.unique(np.stack([row, block.item[suffix]]), axis=1)
-    for r, item in pairs.T.tolist():
-        out[r][1].add(block.ids[item])
-    best = np.lexsort((place, block.item[suffix], -length, row))
+    shared = np.unique(row * len(block.groups) + block.group[kind])
+    for r, group in zip((shared // len(block.groups)).tolist(), (shared % len(block.groups)).tolist(), strict=True):
+        out[r][1].update(block.ids[i] for i in block.groups[group].tolist())
+    length = block.need[kind].copy()
+    item = np.array([g[0] for g in block.groups])[block.group[kind]]
+    whole = np.flatnonzero(length == block.window)
+    if len(whole):
+        length[whole], item[whole] = _extended(words, block, row[whole], place[whole], kind[whole])
+    best = np.lexsort((place, item, -length, row))
     best = best[np.append(True, row[best[1:]] != row[best[:-1]])]
-    for r, n, item, at in zip(row[best].tolist(), length[best].tolist(), block.item[suffix[best]].tolist(), place[best].tolist(), strict=True):
-        out[r] = (*out[r][:2], n, block.ids[item], at - int(words.first[r]))
+    for r, n, i, at in zip(row[best].tolist(), length[best].tolist(), item[best].tolist(), place[best].tolist(), strict=True):
+        out[r] = (*out[r][:2], n, block.ids[i], at - int(words.first[r]))
     return out
 
 
+def _covered(size: int, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    change = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(change, start, 1)
+    np.add.at(change, start + length, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def _extended(words: Words, block: Block, row: np.ndarray, place: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Longest match of each place that starts a whole window, and for the longest of a row the first
+    item that has it (for others any number).
+
+    A match consists of words that some window hits, in the document and in the item. These words of
+    both sides are ranked together by doubling; the neighbours of a place among the windows of the
+    items give its longest match, and a range of them the items that share it."""
+    occurs = np.zeros(len(block.need), dtype=bool)
+    occurs[kind] = True
+    starts = np.flatnonzero(occurs[block.kind])
+    ours = np.flatnonzero(_covered(len(words.hash), place, block.window))
+    theirs = np.flatnonzero(_covered(len(block.words), block.start[starts], block.window))
+    text = np.concatenate((words.hash[ours], block.words[theirs]))
+    last = np.concatenate([_last(ours, words.first[1:]), _last(theirs, block.ends)])
+    stops = np.flatnonzero(last)
+    at = np.arange(len(text))
+    left = stops[np.searchsorted(stops, at)] - at + 1
+    levels = _levels(text, left, int(left[len(ours) :].max()))
+    rank = levels[-1]
+    inner = len(ours) + np.searchsorted(theirs, block.start[starts])
+    by_rank = np.argsort(rank[inner], kind="stable")
+    inner, item = inner[by_rank], block.item[starts][by_rank]
+    here = np.searchsorted(ours, place)
+    after = np.searchsorted(rank[inner], rank[here])
+    right = np.minimum(after, len(inner) - 1)
+    before = np.maximum(after - 1, 0)
+    with_right = _common(levels, left, here, inner[right])
+    with_before = _common(levels, left, here, inner[before])
+    length = np.maximum(with_right, with_before)
+    most = np.zeros(len(words.first), dtype=np.int64)
+    np.maximum.at(most, row, length)
+    best = np.flatnonzero(length == most[row])
+    near = np.where(with_right >= with_before, right, before)[best]
+    shared = _tables(_common(levels, left, inner[:-1], inner[1:]))
+    low, high, wanted = near.copy(), near.copy(), length[best]
+    for k in reversed(range(len(shared))):
+        table, step = shared[k], 1 << k
+        ok = high + step <= len(inner) - 1
+        ok[ok] = table[high[ok]] >= wanted[ok]
+        high[ok] += step
+        ok = low >= step
+        ok[ok] = table[low[ok] - step] >= wanted[ok]
+        low[ok] -= step
+    lowest = _tables(item)
+    out = np.zeros(len(place), dtype=np.int64)
+    size = np.frexp((high - low + 1).astype(np.float64))[1] - 1
+    for k in np.unique(size).tolist():
+        mine = size == k
+        out[best[mine]] = np.minimum(lowest[k][low[mine]], lowest[k][high[mine] + 1 - (1 << k)])
+    return length, out
+
+
+def _last(at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether the word at each place is the last of its span or of its text."""
+    return np.append(at[1:] != at[:-1] + 1, True) | np.isin(at + 1, ends)
+
+
+def _levels(text: np.ndarray, left: np.ndarray, longest: int) -> list[np.ndarray]:
+    """Ranks of the next 1, 2, 4 ... words of each place (an ended text first), until they tell all apart
+    that differ within ``longest`` words."""
+    rank = np.unique(text, return_inverse=True)[1]
+    levels, step, known = [rank.astype(np.int32)], 1, -1
+    while step < longest and rank.max() != known:
+        known = rank.max()
+        following = np.zeros(len(rank), dtype=np.int64)
+        following[:-step] = rank[step:] + 1
+        following[left <= step] = 0
+        rank = np.unique(rank * (len(rank) + 1) + following, return_inverse=True)[1]
+        levels.append(rank.astype(np.int32))
+        step *= 2
+    return levels
+
+
+def _common(levels: list[np.ndarray], left: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Number of equal words from two places on."""
+    most = np.minimum(left[one], left[other])
+    equal = levels[-1][one] == levels[-1][other]
+    n = np.where(equal, most, 0)
+    for k in reversed(range(len(levels) - 1)):
+        open_ = np.flatnonzero(n < most)
+        same = levels[k][one[open_] + n[open_]] == levels[k][other[open_] + n[open_]]
+        open_ = open_[same]
+        n[open_] = np.minimum(n[open_] + (1 << k), most[open_])
+    return n
+
+
+def _tables(values: np.ndarray) -> list[np.ndarray]:
+    """Smallest of 1, 2, 4 ... values from each place on."""
+    tables = [values.astype(np.int32)] if len(values) else []
+    while tables and len(tables[-1]) > 1 << (len(tables) - 1):
+        step = 1 << (len(tables) - 1)
+        tables.append(np.minimum(tables[-1][:-step], tables[-1][step:]))
+    return tables
+
+
 def _merge(before: dict | None, count: int, found: tuple | None) -> dict:
     before = before or {"hits": [], "items": [], "unnamed": False, "longest": 0, "longest_item": None, "longest_at": None}
     edges, items, longest, item, at = found or ([], set(), 0, 0, 0)

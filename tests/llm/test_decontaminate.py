@@ -2,10 +2,13 @@
 
 import re
 
+import random
+import time
+
 import pyarrow as pa
 import pytest
 
-from ledgerprep.llm.decontaminate import judged, matches, suffix_array
+from ledgerprep.llm.decontaminate import _block, _find, judged, matches, suffix_array
 from ledgerprep.llm.words import NO_ALNUM, words_of
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -89,6 +92,50 @@ def test_empty_tables(spark, documents, corpus, scratch):
     assert judged(matches(documents([]), bench, scratch)).collect() == []
 
 
+def brute_longest(text, items, window):
+    """(length, item, place) of the longest match: of equal ones the first item, then the first place."""
+    words, best = split(text), (0, None, 0)
+    for item, content in items:
+        w = split(content)
+        n = min(window, len(w))
+        for at in range(len(words)):
+            for a in range(len(w) - n + 1 if n else 0):
+                size = 0
+                while at + size < len(words) and a + size < len(w) and words[at + size] == w[a + size]:
+                    size += 1
+                if size >= n and (-size, item, at) < (-best[0], best[1] if best[1] is not None else 1 << 60, best[2]):
+                    best = (size, item, at)
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_texts_of_few_words(seed):
+    chance = random.Random(seed)
+
+    def some(least, most, letters):
+        return " ".join(chance.choice(letters) for _ in range(chance.randint(least, most)))
+
+    window = chance.choice([2, 4, 13])
+    letters = ["ab", "aab", "aaaaaaaaab"][seed % 3]
+    rows = [(i, some(0, 60, letters)) for i in range(25)]
+    items = sorted({(i // 2, some(0, 40, letters)) for i in range(12)} | {(7, rows[3][1]), (8, rows[3][1])})
+    block = _block(pa.table({"item_id": [i for i, _ in items], "text": [t for _, t in items]}), window)
+    words = words_of(pa.array([t for _, t in rows]), NO_ALNUM, lower=True)
+    found = _find(words, block)
+    for (i, n, hit, ids, _), (_, text) in zip(sorted(brute(rows, items, window)), rows, strict=True):
+        edges, held, *longest = found.get(i, ([], set(), 0, None, 0))
+        assert (sum(b - a for a, b in edges), sorted(held)) == (hit, ids)
+        assert tuple(longest) == brute_longest(text, items, window)
+
+
+def test_one_word_a_million_times():
+    started = time.time()
+    block = _block(pa.table({"item_id": [1, 2, 3], "text": ["0 " * 5000, "0 " * 4000, "0 0 0"]}), 13)
+    found = _find(words_of(pa.array(["x " + "0 " * 1_000_000, "0 0"]), NO_ALNUM, lower=True), block)
+    assert found == {0: ([[1, 1_000_001]], {1, 2, 3}, 5000, 1, 1)}
+    assert time.time() - started < 60
+
+
 def test_suffix_array_is_sorted():
     words = words_of(pa.array(["a b a b a", "b a", "", "a b a b"]), NO_ALNUM)
     order = suffix_array(words).tolist()
