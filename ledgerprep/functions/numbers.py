@@ -45,6 +45,17 @@ def parse_strict_number(c: Column) -> Column:
     return _plain_first(cell, parse_plain_number(strip(cell)))
 
 
+def exact_sum(amount: Column) -> Column:
+    """Sum of doubles whose last digit does not depend on the order of addition; null without amounts.
+
+    Amounts are added as decimals with 12 digits after the point. What has more than 18 digits before
+    it, or is infinite or not a number, is no amount a ledger holds and is added as doubles."""
+    held = F.abs(amount) < 1e18  # not-a-number is larger than any number
+    exact = F.sum(F.when(held, amount).cast("decimal(30,12)")).cast("double")
+    beyond = F.sum(F.when(~held, amount))
+    return F.coalesce(exact + beyond, exact, beyond)
+
+
 def number_text(name: str) -> str:
     """SQL for the shortest decimal text of a double column as messages show it: ``-0.5``,
     ``9999.0``, ``1e+16``."""

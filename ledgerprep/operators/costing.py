@@ -1,11 +1,13 @@
-"""Standard cost: component prices, routing times, deviation from the loaded price."""
+"""Standard cost: component prices, routing times, deviation from the loaded price.
+
+Sums are exact, so a run gives the same digits however its rows are split over tasks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerprep.functions.numbers import parse_number
+from ledgerprep.functions.numbers import exact_sum, parse_number
 
 DEFAULT_RATE = 35.0
 TOLERANCE_PCT = 5.0
@@ -45,7 +47,7 @@ def _priced_components(bom: DataFrame, master: DataFrame) -> DataFrame:
     prices = (
         material_prices(master)
         .groupBy(_null_as_key("MATERIAL").alias("_KEY"))
-        .agg(F.sum("PRICE").alias("COMP_PRICE"), F.min(F.abs("PRICE")).alias("_LOWEST"))
+        .agg(exact_sum(F.col("PRICE")).alias("COMP_PRICE"), F.min(F.abs("PRICE")).alias("_LOWEST"))
     )
     lines = bom.select(
         "MATERIAL_PARENT", "COMPONENT", _null_as_key("COMPONENT").alias("_KEY"),
@@ -84,7 +86,7 @@ def _routing_lines(routing: DataFrame, default_rate: float) -> DataFrame:
 
 def bom_cost(bom: DataFrame, master: DataFrame) -> DataFrame:
     """Single-level cost of each parent: quantity times component price, summed."""
-    return _bom_lines(bom, master).groupBy("MATERIAL").agg(F.sum("BOM_LINE").alias("COST_BOM"))
+    return _bom_lines(bom, master).groupBy("MATERIAL").agg(exact_sum(F.col("BOM_LINE")).alias("COST_BOM"))
 
 
 def routing_cost(routing: DataFrame, default_rate: float = DEFAULT_RATE) -> DataFrame:
@@ -92,7 +94,7 @@ def routing_cost(routing: DataFrame, default_rate: float = DEFAULT_RATE) -> Data
     return (
         _routing_lines(routing, default_rate)
         .groupBy("MATERIAL")
-        .agg(F.sum("ROUTING_LINE").alias("COST_ROUTING"))
+        .agg(exact_sum(F.col("ROUTING_LINE")).alias("COST_ROUTING"))
     )
 
 
@@ -132,7 +134,7 @@ def standard_cost(
         costs = lines[0] if len(lines) == 1 else lines[0].unionByName(lines[1])
         costs = (
             costs.groupBy("MATERIAL")
-            .agg(F.sum("BOM_LINE").alias("COST_BOM"), F.sum("ROUTING_LINE").alias("COST_ROUTING"))
+            .agg(exact_sum(F.col("BOM_LINE")).alias("COST_BOM"), exact_sum(F.col("ROUTING_LINE")).alias("COST_ROUTING"))
             .withColumnRenamed("MATERIAL", "_MADE")
         )
         # No made material is null, so a null of the master stays a row of its own.
@@ -188,8 +190,8 @@ def margin_columns() -> list[Column]:
     size = F.col("DEVIATION_ABS")
     total, deviating = F.count(F.lit(1)), F.count_if(F.abs("DEVIATION_PCT") > 0)
     return [
-        F.coalesce(F.sum(F.when(loaded > calculated, size)), F.lit(0.0)).alias("total_overvaluation"),
-        F.coalesce(F.sum(F.when(loaded < calculated, size)), F.lit(0.0)).alias("total_undervaluation"),
+        F.coalesce(exact_sum(F.when(loaded > calculated, size)), F.lit(0.0)).alias("total_overvaluation"),
+        F.coalesce(exact_sum(F.when(loaded < calculated, size)), F.lit(0.0)).alias("total_undervaluation"),
         deviating.alias("materials_with_deviation"),
         total.alias("materials_total"),
         F.when(total > 0, F.round(deviating / total * 100.0, 2)).otherwise(0.0).alias(

@@ -11,6 +11,10 @@ from ledgerprep.functions.numbers import parse_strict_number, with_dates
 from ledgerprep.functions.text import strip
 
 
+#: Bits (a power of two) of the table of fingerprints that repeat: at most a million words of 64 bits.
+TABLE_BITS = 1 << 26
+
+
 def _cell(name: str) -> Column:
     return F.col(f"`{name}`").cast("string")
 
@@ -91,16 +95,46 @@ def column_profile(df: DataFrame) -> DataFrame:
     return _long(_possibilities(df), df.columns, lambda bits: [*_empties(bits), _type(bits)])
 
 
+def _fingerprint(df: DataFrame) -> list[Column]:
+    """Two hashes of 64 bits over all cells. A hash passes over nulls, so where they lie is hashed too."""
+    cells = [F.col(f"`{c}`") for c in df.columns]
+    nulls = [c.isNull() for c in cells]
+    return [F.xxhash64(F.lit(seed), *cells, *nulls) for seed in (1, 2)]
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row: rows, and rows equal to an earlier one.
-
-    Copies collapse in the map-side aggregate, so a row that makes up much of the table costs
-    the shuffle one record per task."""
-    copies = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return copies.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("total_rows"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("exact_duplicates"),
-    )
+    """One row: rows, and rows equal to an earlier one. Reads the table twice, and counts it.
+
+    Fingerprints are counted first; only they are shuffled, and copies of one task collapse before.
+    Those that repeat set bits of a table of fixed size, which every task gets; rows whose bit is
+    set, so all copies and a few others, are compared in full. If far more fingerprints repeat than the table
+    has bits, all rows are compared."""
+    if not df.columns:
+        return df.agg(F.count(F.lit(1)).alias("total_rows")).selectExpr("total_rows", "greatest(total_rows - 1, 0) AS exact_duplicates")
+    suspects = _suspects(df)
+    copies = suspects.groupBy(*suspects.columns).agg(F.count(F.lit(1)).alias("_n"))
+    extra = copies.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("exact_duplicates"))
+    return df.agg(F.count(F.lit(1)).alias("total_rows")).select("total_rows", extra.scalar().alias("exact_duplicates"))
+
+
+def _suspects(df: DataFrame) -> DataFrame:
+    """The rows that may have copies, their columns renamed ``c0``, ``c1`` ..."""
+    one, two = _fingerprint(df)
+    counted = df.select(one.alias("_1"), two.alias("_2")).groupBy("_1", "_2").agg(F.count(F.lit(1)).alias("_n"))
+    bits = counted.where("_n > 1").groupBy(_word(F.col("_1")).alias("_word")).agg(F.bit_or(_bit(F.col("_1"))).alias("_bits"))
+    named = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    hashed = named.withColumn("_1", _fingerprint(named)[0]).withColumn("_word", _word(F.col("_1")))
+    # At most TABLE_BITS / 64 rows of two numbers.
+    marked = hashed.join(F.broadcast(bits), "_word")
+    return marked.where(F.col("_bits").bitwiseAND(_bit(F.col("_1"))) != 0).select(*named.columns)
+
+
+def _word(hashed: Column) -> Column:
+    return F.shiftrightunsigned(hashed, 6).bitwiseAND(F.lit(TABLE_BITS // 64 - 1))
+
+
+def _bit(hashed: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), hashed.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def table_profile(df: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerprep import fixed_values as fv
-from ledgerprep.functions.numbers import as_timestamp, number_text, parse_number, whole_months, with_dates
+from ledgerprep.functions.numbers import as_timestamp, exact_sum, number_text, parse_number, whole_months, with_dates
 from ledgerprep.operators import (
     costing, entity, industrial, inventory, mapping, merge, ordered, profile, quarantine, readiness, schema,
 )
@@ -179,6 +179,52 @@ def test_numbers_and_dates(table):
         assert one.first()["m"] == months
 
 
+def test_cost_is_equal_however_rows_are_split(spark):
+    master = spark.range(40).selectExpr("concat('M', id) AS MATERIAL", "string(round(rand(3) * 90, 2)) AS PRICE")
+    rows = spark.range(4000).selectExpr(
+        "concat('M', id % 3) AS MATERIAL_PARENT", "concat('M', id % 39) AS COMPONENT", "string(rand(5) * pow(10, id % 7)) AS QUANTITY"
+    ).collect()
+    times = spark.range(4000).selectExpr(
+        "concat('M', id % 3) AS MATERIAL", "string(rand(7)) AS SETUP_TIME", "string(rand(8) * 1e6) AS MACHINE_TIME", "'0.1' AS LABOR_TIME"
+    ).collect()
+    prices = master.collect()
+    seen = set()
+    for parts in (1, 2, 3, 7, 16):
+        split = [spark.createDataFrame(sorted(r, key=lambda x: hash((parts, x)))).repartition(parts) for r in (prices, rows, times)]
+        cost = costing.standard_cost(*split)
+        impact = costing.margin_impact(cost).first()
+        seen.add((tuple(sorted(map(tuple, cost.collect()))), tuple(impact)))
+    assert len(seen) == 1
+
+
+def test_sums_beyond_decimals(spark):
+    def total(*values):
+        return spark.createDataFrame([(v,) for v in values], "v double").agg(exact_sum(F.col("v"))).first()[0]
+
+    assert total(0.1, 0.2, None) == 0.3
+    assert total() is None and total(None) is None
+    assert total(1e30, 1.5) == 1e30 and total(1e30) == 1e30
+    assert total(float("inf"), 1.0) == float("inf")
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_copies_of_rows(spark, monkeypatch, collide):
+    if collide:
+        monkeypatch.setattr(profile, "_fingerprint", lambda df: [F.lit(7).cast("long"), F.lit(7).cast("long")])
+    rows = [(None, "a", 0.0), ("a", None, 0.0), (None, "a", -0.0), ("a", None, float("nan")), ("a", None, float("nan")), ("", "a", 0.0), (None, None, None)]
+    df = spark.createDataFrame(rows * 3, "`_1` string, `x.y` string, `_word` double").repartition(5)
+    assert tuple(profile.duplicate_rows(df).first()) == (21, 21 - 5)
+    assert tuple(profile.duplicate_rows(df.distinct()).first()) == (5, 0)
+    assert tuple(profile.duplicate_rows(df.limit(0)).first()) == (0, 0)
+
+
+def test_unique_rows_stay_where_they_are(spark):
+    df = spark.range(20_000).selectExpr("id", "repeat(string(id), 50) AS long_text")
+    both = df.unionByName(df.where("id < 10"))
+    assert tuple(profile.duplicate_rows(both).first()) == (20_010, 10)
+    assert 20 <= profile._suspects(both).count() < 40
+
+
 def test_profile(table):
     df = table({
         "A": ["1", "2", "1", None], "B": ["Texto", "Otro", "Texto", "Más"], "C": ["", "2026-06-02", "", "2026-06-03"],
@@ -193,6 +239,22 @@ def test_profile(table):
     }
 
 
+def test_types_of_odd_cells(table):
+    cells = {"integer": ["+5", "-7", "12"], "decimal": ["1", "2.5"], "text": ["20240131", "1-2"]}
+    odd = [
+        ("5\x7f", "text"), ("\x005", "text"), (" 5 ", "integer"), ("1_000", "integer"), ("1.0", "integer"), ("12.50", "decimal"),
+        ("007", "numeric_str (leads 0)"), ("20240131", "integer"), ("2024-01-31", "datetime"),
+        ("/5", "text"), ("1e3", "integer"), ("--5", "text"), ("+", "text"), ("31.01.2024", "datetime"), ("12345678", "integer"),
+    ]
+    df = table({f"c{i}": [text, text] for i, (text, _) in enumerate(odd)}, row_id=False)
+    got = {r["column"]: r["inferred_type"] for r in profile.type_profile(df).collect()}
+    assert [(text, got[f"c{i}"]) for i, (text, _) in enumerate(odd)] == odd
+    for kind, texts in cells.items():
+        assert profile.type_profile(table({"c": texts}, row_id=False)).first()["inferred_type"] == kind
+    mixed = table({"c": ["20240131", "2024-01-31", "\t20240131"]}, row_id=False)
+    assert profile.type_profile(mixed).first()["inferred_type"] == "datetime"
+
+
 def test_schema(table):
     rules = schema.read_schema(json.dumps({"columns": {
         "ID": {"required": True, "nullable": False, "type": "int"}, "NAME": {"required": True, "nullable": False, "type": "str"},
