@@ -210,7 +210,9 @@ def write_shards(
 
 
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, start: int = 0) -> DataFrame:
-    """slot and ids (16-bit numbers, low byte first) of the sequences from slot ``start`` on."""
+    """slot and ids (16-bit numbers, low byte first) of the sequences from slot ``start`` on.
+
+    Folders of shards before that slot are not opened; an empty folder has no sequences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stride = 2 * length + 1
@@ -226,5 +228,7 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, per_shard:
                     yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(some)) + first + at), ids], names=["slot", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    shard = F.regexp_extract("path", r"shard=(\d+)", 1).cast("long")
-    return files.select(shard.alias("shard"), "content").filter(F.col("shard") >= start // per_shard).mapInArrow(run, "slot long, ids binary")
+    if "shard" not in files.columns:
+        return spark.createDataFrame([], "slot long, ids binary")
+    shards = files.filter(F.col("shard") >= start // per_shard).select(F.col("shard").cast("long"), "content")
+    return shards.mapInArrow(run, "slot long, ids binary")
