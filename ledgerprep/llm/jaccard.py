@@ -1,9 +1,9 @@
 """Operator 2, n-gram Jaccard join by count vectors and R-trees.
 
-A text is its set of ``k``-word shingles. Shingles are hashed into ``DIMS`` groups, and the counts
+A text is its set of ``k``-word shingles. Shingles are hashed into 64 groups, and the counts
 of a text in them are its point. Two texts share at most the sum, over the groups, of the smaller
 count, so a pair, or two boxes of points, whose sum is below what the threshold needs is out. What
-is left is verified on the sets themselves.
+is left is compared by points of 256 groups in the same way, and then verified on the sets themselves.
 
 A tree over all points alone would compare every text with all of like length, because points of
 unrelated texts of one length lie in one cloud. So the directory above the trees is exact and
@@ -40,8 +40,11 @@ from ledgerprep.operators.components import components
 from ledgerprep.llm.words import BLANK, Words, mix, run_hash, signed, slices, words_of
 from ledgerprep.session import Scratch
 
-DIMS = 64
+#: Bits of the group number of a point, and of the finer point that pairs of points are compared by next.
+BITS, FINER = 6, 8
 BOX = 16
+#: Pairs compared by finer points at once.
+PAIRS = 1 << 14
 #: A family of at most so many texts and shingles is one leaf; small families share one.
 LEAF_ROWS = 4096
 LEAF_SHINGLES = 2_000_000
@@ -247,10 +250,29 @@ def _sets(group: pa.Table, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(values), np.concatenate(ends)
 
 
-def _counts(value: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Points of sets: how many shingles each of ``DIMS`` groups has."""
-    row, dim = np.repeat(np.arange(len(at) - 1), np.diff(at)), (value >> np.uint64(58)).astype(np.int64)
-    return np.bincount(row * DIMS + dim, minlength=(len(at) - 1) * DIMS).reshape(-1, DIMS).astype(np.int32)
+def _counts(value: np.ndarray, at: np.ndarray, bits: int) -> np.ndarray:
+    """Points of sets: how many shingles each of 2^``bits`` groups has."""
+    row, dim = np.repeat(np.arange(len(at) - 1), np.diff(at)), (value >> np.uint64(64 - bits)).astype(np.int64)
+    return np.bincount((row << bits) + dim, minlength=(len(at) - 1) << bits).reshape(-1, 1 << bits).astype(np.int32)
+
+
+def _fine_points(value: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """The finest point of each set, a byte a group: about as many groups as shingles, 256 at least, twice as
+    many as often as a group has over 255. Neighbouring groups summed give any coarser point."""
+    out = []
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        bits = max(FINER, (b - a).bit_length() - 1)
+        while True:
+            count = np.bincount((value[a:b] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+            if count.max() <= 255:
+                break
+            bits += 1
+        out.append(count.astype(np.uint8).tobytes())
+    return out
+
+
+def _fold(point: np.ndarray, groups: int) -> np.ndarray:
+    return point.reshape(groups, -1).sum(axis=1, dtype=np.int32)
 
 
 def _link(group: pa.Table, k: int, num: int, den: int, seed: int) -> pa.Table:
@@ -262,20 +284,28 @@ def _link(group: pa.Table, k: int, num: int, den: int, seed: int) -> pa.Table:
     value, at = _sets(group, k, seed)
     family, node = group.column("family").to_numpy(), group.column("node").to_numpy()
     component, side = group.column("component").to_numpy(), group.column("side").to_numpy()
-    counts = _counts(value, at)
+    points = _counts(value, at, BITS), _counts(value, at, FINER)
+
+    def similar(a: int, b: int) -> bool:
+        u, v = value[at[a] : at[a + 1]], value[at[b] : at[b + 1]]
+        if len(u) > len(v):
+            u, v = v, u
+        common = int((v[np.minimum(np.searchsorted(v, u), len(v) - 1)] == u).sum())
+        return den * common >= num * (len(u) + len(v) - common)
+
     edges: tuple[list, list, list] = ([], [], [])
     cuts = np.append(np.flatnonzero(np.append(True, family[1:] != family[:-1])), len(family))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        _family(np.arange(a, b), value, at, counts, node, component, side, num, den, edges)
+        _family(np.arange(a, b), np.diff(at), points, similar, node, component, side, num, den, edges)
     return pa.table(
         [pa.array(edges[0], pa.int64()), pa.array(edges[1], pa.int64()), pa.array(edges[2], pa.bool_())], names=["a", "b", "head"]
     )
 
 
-def _family(rows, value, at, counts, node, component, side, num, den, edges) -> None:  # noqa: ANN001
-    size = np.diff(at)[rows]
-    rows = rows[np.lexsort((counts[rows].argmax(axis=1), size))]  # packed by size first
-    size, points, names = np.diff(at)[rows], counts[rows], node[rows]
+def _family(rows, sizes, counts, similar, node, component, side, num, den, edges) -> None:  # noqa: ANN001
+    """Adds the links of one family to ``edges``: pairs that the points of both kinds let through and ``similar`` confirms."""
+    rows = rows[np.lexsort((counts[0][rows].argmax(axis=1), sizes[rows]))]  # packed by size first
+    size, points, finer, names = sizes[rows], counts[0][rows], counts[1][rows].astype(np.uint16), node[rows]
     up = {x: x for x in {*component[rows].tolist()}}
 
     def root(x: int) -> int:
@@ -315,24 +345,18 @@ def _family(rows, value, at, counts, node, component, side, num, den, edges) ->
         if not found:
             continue
         first, second, shared = (np.concatenate(c) for c in zip(*found, strict=True))
+        for at in range(0, len(first), PAIRS):
+            p, q = first[at : at + PAIRS], second[at : at + PAIRS]
+            shared[at : at + PAIRS] = np.minimum(finer[p], finer[q]).sum(axis=1, dtype=np.int64)
+        good = (num + den) * shared >= num * (size[first] + size[second])
+        first, second, shared = first[good], second[good], shared[good]
         share = shared / (size[first] + size[second])
         for pair in np.lexsort((names[second], names[first], -share)).tolist():  # the likeliest links first
             a, b = int(first[pair]), int(second[pair])
             ra, rb = root(int(own[a])), root(int(own[b]))
             if ra == rb:
                 continue
-            if value is None:  # points alone: what the bound lets through counts
-                up[max(ra, rb)] = min(ra, rb)
-                edges[0].append(int(names[a]))
-                edges[1].append(int(names[b]))
-                edges[2].append(False)
-                continue
-            u, v = value[at[rows[a]] : at[rows[a] + 1]], value[at[rows[b]] : at[rows[b] + 1]]
-            if len(u) > len(v):
-                u, v = v, u
-            place = np.searchsorted(v, u)
-            common = int((v[np.minimum(place, len(v) - 1)] == u).sum())
-            if den * common >= num * (len(u) + len(v) - common):
+            if similar(int(rows[a]), int(rows[b])):
                 up[max(ra, rb)] = min(ra, rb)
                 edges[0].append(int(names[a]))
                 edges[1].append(int(names[b]))
@@ -437,25 +461,30 @@ def _texts_of(docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _still_near(placed: DataFrame, texts: DataFrame, scratch: Scratch, k: int, num: int, den: int, seed: int) -> DataFrame:
-    """The members (family, node, n, component) whose component may link with another by the bound of their points,
-    with such components as their families. Points are compared in tiles first, because a text is many times as long."""
+    """The members (family, node, n, component) whose component may link with another by the bound of their finest
+    points, with such components as their families. Points are compared in tiles first, because a text is many times as long."""
 
     def points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 value, at = sets_of(words_of(part.column("text"), BLANK, lower=True), k, seed)
-                counts = _counts(value, at).astype("<u4")
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([c.tobytes() for c in counts], pa.binary())], names=["node", "point"])
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(_fine_points(value, at), pa.binary())], names=["node", "point"])
 
     def near(group: pa.Table) -> pa.Table:
         group = group.sort_by([("family", "ascending"), ("node", "ascending"), ("side", "ascending")])
         family, node, component, side, size = (group.column(c).to_numpy() for c in ("family", "node", "component", "side", "n"))
-        counts = np.frombuffer(b"".join(group.column("point").to_pylist()), dtype="<u4").reshape(-1, DIMS).astype(np.int32)
+        finest = [np.frombuffer(p, dtype=np.uint8) for p in group.column("point").to_pylist()]
+        counts = tuple(np.stack([_fold(p, 1 << bits) for p in finest]) for bits in (BITS, FINER))
+
+        def similar(a: int, b: int) -> bool:
+            groups = min(len(finest[a]), len(finest[b]))
+            bound = int(np.minimum(_fold(finest[a], groups), _fold(finest[b], groups)).sum())
+            return (num + den) * bound >= num * (int(size[a]) + int(size[b]))
+
         edges: tuple[list, list, list] = ([], [], [])
         cuts = np.append(np.flatnonzero(np.append(True, family[1:] != family[:-1])), len(family))
-        at = np.append(0, np.cumsum(size))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            _family(np.arange(a, b), None, at, counts, node, component, side, num, den, edges)
+            _family(np.arange(a, b), size, counts, similar, node, component, side, num, den, edges)
         of = dict(zip(node.tolist(), component.tolist(), strict=True))
         pairs = [(of[x], of[y]) for x, y, head in zip(*edges, strict=True) if not head]
         return pa.table([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
