@@ -422,7 +422,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, k: int = 5, num: int = 80
         placed = members.join(spread, "family").drop("leaf").join(joined, "node", "left")
         placed = placed.select("family", "node", "n", F.coalesce("root", "node").alias("component"))
         placed = _still_near(scratch.keep(placed), texts, scratch, k, num, den, seed)
-        tiles = _tiles(placed, scratch, num, den)
+        tiles = _tiles(placed, scratch, num, den, "component")
         more = links(tiles).filter("NOT head").select("a", "b")
         joined = components(linked.unionByName(scratch.keep(more)), scratch)
     scratch.sweep()
@@ -498,13 +498,14 @@ def _still_near(placed: DataFrame, texts: DataFrame, scratch: Scratch, k: int, n
     return scratch.keep(placed.drop("family").join(families, "component").select("family", "node", "n", "component"))
 
 
-def _tiles(members: DataFrame, scratch: Scratch, num: int, den: int) -> DataFrame:
+def _tiles(members: DataFrame, scratch: Scratch, num: int, den: int, *order: str) -> DataFrame:
     """Pairs of leaves of a family, and leaves, that hold different components of sizes that can link.
 
-    The leaves are packed anew by component, so that those of one large component are of it alone."""
+    The leaves are packed anew: by ``component``, so that those of one large component are of it alone, or by
+    size only, so that few pairs of leaves hold sizes that can link."""
     ends = (F.min("component").alias("first"), F.max("component").alias("last"))
     open_ = members.groupBy("family").agg(*ends).filter("first <> last").select("family")
-    placed = scratch.keep(_leaves(members.join(open_, "family"), "component"))
+    placed = scratch.keep(_leaves(members.join(open_, "family"), *order))
     leaves = placed.groupBy("family", "leaf").agg(F.min("n").alias("low"), F.max("n").alias("high"), *ends)
     one, two = leaves.alias("x"), leaves.alias("y")
     pairs = one.join(two, F.col("x.family") == F.col("y.family")).filter(
