@@ -32,6 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def _runs(values: pa.Array) -> list[int]:
     """Where runs of equal values begin, and the length."""
     if not len(values):
         return [0]
-    changed = pa.compute.not_equal(values.slice(1), values.slice(0, len(values) - 1))
+    changed = pc.not_equal(values.slice(1), values.slice(0, len(values) - 1))
     return [0, *(np.flatnonzero(changed.to_numpy(zero_copy_only=False)) + 1).tolist(), len(values)]
 
 

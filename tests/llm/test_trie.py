@@ -136,3 +136,10 @@ def test_text_ids_and_empty_table(spark, scratch):
     assert [r.conv for r in trie.sequences(df, scratch).collect()] == [7]
     empty = spark.createDataFrame([], SCHEMA)
     assert trie.prefix_trie(rebuilt(trie.sequences(empty, scratch)), scratch).collect() == []
+
+
+def test_runs_import_what_they_use(monkeypatch):
+    # A worker may have imported pyarrow alone: pyarrow.compute is a module of its own.
+    values = trie.pa.array([1, 1, 2])
+    monkeypatch.delattr(trie.pa, "compute", raising=False)
+    assert trie._runs(values) == [0, 2, 3]
