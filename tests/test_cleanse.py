@@ -198,3 +198,14 @@ def test_stateless_steps_run_on_a_stream(spark, table, tmp_path):
 
 def test_province_list():
     assert len(fv.PROVINCES) == 52 and fv.PROVINCES[27] == "MADRID" and fv.PROVINCES[7] == "BARCELONA"
+
+
+def test_rows_of_one_task_are_dealt_before_they_are_judged(spark, table):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = table({"C": [str(i) for i in range(200)]}).coalesce(1)
+        marked = run_cleansing(rows, Options({"C": "text"}, row_id="row_id")).marked
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(marked.inputFiles()) > 1
+    assert sorted(r[0] for r in marked.select("C").collect()) == sorted(map(str, range(200)))

@@ -254,3 +254,20 @@ def test_copies_of_a_session_are_dropped(spark):
     assert folder.exists()
     drop_cuts(spark)
     assert not folder.exists() and cut(spark.range(2)).count() == 2
+
+
+def test_names_that_cannot_be_near_are_not_compared(table, monkeypatch):
+    """At 100 only equal names are near, however many a block has; at 95 short ones have no near one but long ones do."""
+    def compared(parted, *_):
+        raise AssertionError(parted.collect())
+
+    short = [f"ABC {i}" for i in range(40)]
+    keyed = lambda names: entity.exact_key_groups(entity.matching_rows(table({"N": names}), "row_id", "N"))
+    with monkeypatch.context() as patched:
+        patched.setattr(entity, "links", compared)
+        for threshold in (100.0, 95.0):
+            got = entity.leader_clusters(entity.collapse_names(keyed([*short, *short])), threshold, part_names=4).collect()
+            assert {r["rep"]: (r["leader"], r["rows"], r["score"]) for r in got} == {i: (i, 2, 100.0) for i in range(40)}
+    long = ["ABC " + "X" * 40, "ABC " + "X" * 41]
+    got = entity.leader_clusters(entity.collapse_names(keyed([*short, *long])), 95.0, part_names=4).collect()
+    assert {r["rep"]: r["leader"] for r in got} == {i: min(i, 40) for i in range(42)}

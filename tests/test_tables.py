@@ -436,3 +436,26 @@ def test_hot_key_and_name(spark):
     members = entity.find_duplicates(df, "row_id", "N", tax_id="T")
     sizes = {r["group_id"]: r["count"] for r in members.groupBy("group_id").count().collect()}
     assert sizes == {0: 1000, 1: 1000}
+
+
+def test_side_tables_of_a_package_are_computed_once(spark, table, tmp_path):
+    seen = {name: spark.sparkContext.accumulator(0) for name in ("bom", "stock")}
+
+    def counted(name):
+        def add(x):
+            seen[name].add(1)
+            return x
+
+        return F.udf(add, "string").asNondeterministic()
+
+    master = table({"MATERIAL": ["A", "B"], "PRICE": ["10", "3"]}, row_id=False)
+    bom = table({"MATERIAL_PARENT": ["A", "A"], "COMPONENT": ["B", "C"], "QUANTITY": ["2", "1"]}, row_id=False)
+    stock = table({"MATERIAL": ["A", "B", "C"], "TOTAL_VALUE": ["100", "20", "3"]})
+    bom = bom.withColumn("QUANTITY", counted("bom")("QUANTITY"))
+    stock = stock.withColumn("TOTAL_VALUE", counted("stock")("TOTAL_VALUE"))
+    result = run_premigration(table({"N": ["a", "b"]}), Options({"N": "text"}, row_id="row_id"), master, bom, None, stock, "row_id")
+    write_package(result, str(tmp_path / "package"))
+    assert {name: n.value for name, n in seen.items()} == {"bom": 2, "stock": 3}
+    tables = read_package(spark, str(tmp_path / "package"))
+    assert {r["MATERIAL"]: float(r["COST_BOM"]) for r in tables["costing"].collect()} == {"A": 6.0, "B": 0.0}
+    assert {r["MATERIAL"]: r["ABC_CLASS"] for r in tables["inventory"].collect()} == {"A": "A", "B": "C", "C": "C"}
