@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerprep.llm.words import mix
+from ledgerprep.llm.words import mix, slices
 from ledgerprep.session import Scratch
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -46,30 +48,45 @@ _KNOWN_WORDS = 400_000
 _ODD = re.compile(r"\s | \s|^ | $")
 
 
-class _Encoder(dict):
+class _Encoder:
     """Ids of a text as bytes; the ids of words that come again are kept, up to a bound."""
 
     def __init__(self, vocabulary: bytes):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.plain = tiktoken.Encoding("words", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self._first, self._after = _Words(self.whole, ""), _Words(self.whole, " ")
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.plain.encode_ordinary(text), dtype="<u2").tobytes()
+        ids = array("H", self.plain.encode_ordinary(text))
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.whole(word)
-        if len(word) <= 64:
-            if len(self) >= _KNOWN_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
+    def clear(self) -> None:
+        self._first.clear()
+        self._after.clear()
 
     def encode(self, text: str) -> bytes:
         # The pattern always cuts before a single blank between other characters.
         if _ODD.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
-        return self[first] + b"".join([self[" " + word] for word in rest])
+        return self._first[first] + b"".join(map(self._after.__getitem__, rest))
+
+
+class _Words(dict):
+    """Ids of words, each with ``before`` in front of it."""
+
+    def __init__(self, whole: Callable[[str], bytes], before: str):
+        self._whole, self._before = whole, before
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._whole(self._before + word)
+        if len(word) <= 64:
+            if len(self) >= _KNOWN_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
 
 
 @cache
@@ -84,7 +101,7 @@ def tokens(docs: DataFrame, vocabulary: bytes, end_id: int = END_ID) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, start = _encoder(shared.value), TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (some for whole in batches for some in slices(whole, "text")):
             ids = [encoder.encode(text) + end for text in batch.column("text").to_pylist()]
             n = np.array([len(x) // 2 for x in ids], dtype=np.int64)
             at = start + np.cumsum(n) - n
@@ -93,6 +110,7 @@ def tokens(docs: DataFrame, vocabulary: bytes, end_id: int = END_ID) -> DataFram
                 [batch.column("doc_id"), pa.array(np.full(len(n), part, dtype=np.int32)), pa.array(at), pa.array(n), pa.array(ids, pa.binary())],
                 names=["doc_id", "part", "start", "n", "ids"],
             )
+        encoder.clear()  # a worker that goes on to other work would keep the words for the session
 
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     kind = picked.schema["doc_id"].dataType.simpleString()
@@ -176,13 +194,14 @@ def write_shards(
         first = shard * per_shard
         held = np.full((min(per_shard, count - first), length), END_ID, dtype="<u2")
         unpack = zstandard.ZstdDecompressor()
-        for slot, at, size, data in zip(*(pieces.column(c).to_pylist() for c in ("slot", "at", "size", "data")), strict=True):
+        for row in zip(*(pieces.column(c) for c in ("slot", "at", "size", "data")), strict=True):  # read in place, not copied
+            slot, at, size, data = (x.as_buffer() for x in row)
             ids, done = np.frombuffer(unpack.decompress(data), dtype="<u2"), 0
             for s, a, n in zip(*(np.frombuffer(x, dtype=np.int64).tolist() for x in (slot, at, size)), strict=True):
                 held[s - first, a : a + n] = ids[done : done + n]
                 done += n
         offsets = np.arange(len(held) + 1, dtype=np.int32) * (2 * length)
-        value = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets), pa.py_buffer(held.tobytes())])
+        value = pa.Array.from_buffers(pa.binary(), len(held), [None, pa.py_buffer(offsets), pa.py_buffer(held)])
         return pa.table([pa.array(np.full(len(held), shard)), pa.array(np.arange(len(held)) + first), value], names=["shard", "slot", "value"])
 
     moved = table.select("part", "start", "n", "ids").mapInArrow(blocks, "shard long, slot binary, at binary, size binary, data binary")

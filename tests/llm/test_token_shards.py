@@ -59,3 +59,30 @@ def test_no_documents(spark, documents, scratch):
     path = scratch.path()
     assert T.write_shards(documents([(1, None)]), path, scratch).collect() == []
     assert T.read_shards(spark, path).collect() == []
+
+
+def test_workers_forget_the_words_of_a_task(spark, documents):
+    with open(T.VOCABULARY, "rb") as file:
+        vocabulary = file.read()
+    docs = documents([(i, f"some words of document {i}") for i in range(20)]).coalesce(1)
+    assert T.tokens(docs, vocabulary).count() == 20
+
+    def known(batches):
+        for batch in batches:
+            encoder = T._encoder(vocabulary)
+            yield T.pa.RecordBatch.from_arrays([T.pa.array([len(encoder._first) + len(encoder._after)])], names=["n"])
+
+    assert [r.n for r in spark.range(1).mapInArrow(known, "n long").collect()] == [0]
+
+
+def test_words_are_forgotten_at_the_bound(monkeypatch):
+    monkeypatch.setattr(T, "_KNOWN_WORDS", 3)
+    encoder = T._Encoder(vocabulary_of())
+    text = "one two three four five six two one"
+    assert encoder.encode(text) == encoder.whole(text)
+    assert len(encoder._after) <= 3
+
+
+def vocabulary_of():
+    with open(T.VOCABULARY, "rb") as file:
+        return file.read()
