@@ -168,7 +168,7 @@ def nodes(docs: DataFrame, k: int, seed: int) -> DataFrame:
 
 
 def shared_groups(docs: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
-    """Pairs of nodes (a, b) that connect all nodes with equal group content."""
+    """Pairs of nodes (a, b), some repeated, that connect all nodes with equal group content."""
 
     def star(signs: list[np.ndarray], names: list[np.ndarray]) -> pa.RecordBatch:
         sign, name = np.concatenate(signs), np.concatenate(names)
@@ -208,7 +208,7 @@ def shared_groups(docs: DataFrame, k: int, num: int, den: int, seed: int) -> Dat
 
     signed_ = _texts(docs).select("text").filter("text IS NOT NULL").mapInArrow(run, "sign long, node long")
     inside = Window.partitionBy("sign").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return signed_.select(F.first("node").over(inside).alias("a"), F.col("node").alias("b")).filter("a <> b").distinct()
+    return signed_.select(F.first("node").over(inside).alias("a"), F.col("node").alias("b")).filter("a <> b")
 
 
 def _leaves(members: DataFrame, *order: str) -> DataFrame:
