@@ -86,3 +86,20 @@ def test_words_are_forgotten_at_the_bound(monkeypatch):
 def vocabulary_of():
     with open(T.VOCABULARY, "rb") as file:
         return file.read()
+
+
+def test_shards_are_cut_without_python(spark, documents, scratch, tmp_path):
+    """A whole file as one cell of an Arrow batch was held several times in a task."""
+    path = str(tmp_path / "shards")
+    T.write_shards(documents([(i, f"text {i} " * 30) for i in range(20)]), path, scratch, length=32, per_shard=7)
+    read = T.read_shards(spark, path, 32, 7)
+    rows = read.collect()
+    assert sorted(r.slot for r in rows) == list(range(len(rows))) and {len(r.ids) for r in rows} == {64}
+    assert "Arrow" not in read._jdf.queryExecution().executedPlan().toString()
+
+
+def test_torn_shard_is_refused(spark, tmp_path):
+    (tmp_path / "shard=0").mkdir()
+    (tmp_path / "shard=0" / "part-0").write_bytes(b"x" * 100)
+    with pytest.raises(Exception, match="not whole records in shard 0"):
+        T.read_shards(spark, str(tmp_path), 32, 7).collect()
