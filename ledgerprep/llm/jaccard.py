@@ -7,9 +7,12 @@ is left is compared by points of 256 groups in the same way, and then verified o
 
 A tree over all points alone would compare every text with all of like length, because points of
 unrelated texts of one length lie in one cloud. So the directory above the trees is exact and
-finer: texts that link differ in at most r shingles, so of r + 1 groups at least one has the very
-same content. Texts that share the content of a group form a family (a connected component of
-that relation); texts that link are always in one family.
+finer: texts that link differ in at most r shingles, so of r + 1 + s groups at least s + 1 have the very
+same content. So each text may leave out s of its groups, in one order for all texts: those whose
+content the most texts share. The coldest group of a pair that links is never among them. What common
+lines make equal goes first, so texts are not tied by them, however many there are. Texts that share the
+content of a group left form a family (a connected component of that relation); texts that link are
+always in one family.
 
 Each family is packed into leaves by size. A leaf is one task's work: boxes over its points, pairs
 of boxes and then of points that the bound leaves, verified from the best down, none between
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +53,10 @@ PAIRS = 1 << 14
 LEAF_ROWS = 4096
 LEAF_SHINGLES = 2_000_000
 SHARED_ROWS = 256
+#: After so many signatures a task forgets which sets it has seen.
 FLUSH = 1 << 20
+#: Texts that share a signature are counted so far; more of them are not held at once.
+HOTTEST = 1 << 16
 
 LINKS = "a long, b long, head boolean"
 
@@ -94,19 +101,22 @@ def bands(num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     """Sizes where bands begin, and by band: shingles that may differ, groups, and groups too many.
 
     Sizes of linked sets are in one band or in neighbouring ones. In a band, sets differ in at most
-    r shingles where the smaller is of the band; r + 1 + spare groups leave 1 + spare of equal content."""
+    r shingles where the smaller is of the band; r + 1 + spare groups leave 1 + spare of equal content.
+    Those to spare are the ones expected to be empty, and a sixteenth more for the content that many share."""
     begin = [1]
     while begin[-1] < 1 << 40:
         begin.append(max(begin[-1] + 1, -(-begin[-1] * den // num)))
     size = np.array(begin, dtype=np.float64)
     differ = np.array([(den - num) * (b - 1) // num for b in begin[1:]], dtype=np.int64)
-    empty = (differ + 1) * np.exp(-size[:-1] / (differ + 1))
-    spare = np.ceil(empty + 4 * np.sqrt(empty)).astype(np.int64)
+    more = -(-(differ + 1) // 16)
+    empty = (differ + 1 + more) * np.exp(-size[:-1] / (differ + 1 + more))
+    spare = more + np.ceil(empty + 4 * np.sqrt(empty)).astype(np.int64)
     return np.array(begin[:-1]), differ, differ + 1 + spare, spare
 
 
-def signatures(value: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Text and signature (hash of band, group and its content) of the groups of all texts.
+def signatures(value: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text and signature (hash of band, group and its content) of the groups of all texts, and how many of the
+    text's signatures of that band may still be left out, times two, plus one for the lower of its bands.
 
     Groups without content are left out, unless a text has more of them than are to spare; one
     that it shares with another, which leaves fewer out, is then among the rest."""
@@ -114,7 +124,7 @@ def signatures(value: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[n
     size = np.diff(at)
     some = np.flatnonzero(size)
     band = np.searchsorted(begin, size[some], side="right") - 1
-    out_row, out_sign = [], []
+    out_row, out_sign, out_spare = [], [], []
     high = value >> np.uint64(32)
     weighed = mix(value)
     for lower in (0, 1):
@@ -133,13 +143,15 @@ def signatures(value: np.ndarray, at: np.ndarray, num: int, den: int) -> tuple[n
         out_row.append(rows[owner[first]])
         out_sign.append(mix(content ^ mix(place)))
         lacks = groups[k] - np.bincount(owner[first], minlength=len(rows))
+        out_spare.append((np.maximum(spare[k] - lacks, 0) * 2 + lower)[owner[first]])
         for i in np.flatnonzero(lacks > spare[k]).tolist():
             bare = np.setdiff1d(np.arange(groups[k[i]], dtype=np.uint64), group[first][owner[first] == i])
             out_row.append(np.full(len(bare), rows[i]))
             out_sign.append(mix(mix((np.uint64(k[i]) << np.uint64(40)) + bare)))
+            out_spare.append(np.full(len(bare), lower))
     if not out_row:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    return np.concatenate(out_row), np.concatenate(out_sign)
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    return np.concatenate(out_row), np.concatenate(out_sign), np.concatenate(out_spare)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -167,48 +179,67 @@ def nodes(docs: DataFrame, k: int, seed: int) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id long, text_key long, n long, node long, check long")
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (sign, node, spare) in order of sign and node, those whose sign several nodes have, each once, with the
+    number of these nodes (``HOTTEST`` at most) and the least of them."""
+    held = [np.zeros(0, dtype=t) for t in (np.int64, np.int64, np.int32)]
+    past = None  # sign, least and last node of a run whose first HOTTEST nodes have gone on
+    for batch in chain(batches, (None,)):
+        if batch is not None:
+            held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, ("sign", "node", "spare"), strict=True)]
+        new = np.ones(len(held[0]), dtype=bool)
+        new[1:] = (held[0][1:] != held[0][:-1]) | (held[1][1:] != held[1][:-1])
+        if past:
+            new &= (held[0] != past[0]) | (held[1] != past[2])
+        held = [x[new] for x in held]
+        sign, node, _ = held
+        if not len(sign):
+            continue
+        begin = np.flatnonzero(np.append(True, sign[1:] != sign[:-1]))
+        length, least = np.diff(np.append(begin, len(sign))), node[begin]
+        heat = np.minimum(length, HOTTEST)
+        if past and sign[0] == past[0]:
+            heat[0], least[0] = HOTTEST, past[1]
+        held_back = batch is not None and heat[-1] < HOTTEST  # the last run may go on
+        to = int(begin[-1]) if held_back else len(sign)
+        past = None if held_back else (sign[-1], least[-1], node[-1])
+        heat, least = np.repeat(heat, length)[:to], np.repeat(least, length)[:to]
+        several = heat > 1
+        if several.any():
+            columns = (*(x[:to][several] for x in held), heat[several].astype(np.int32), least[several])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sign", "node", "spare", "heat", "least"])
+        held = [x[to:] for x in held]
+
+
 def shared_groups(docs: DataFrame, k: int, num: int, den: int, seed: int) -> DataFrame:
-    """Pairs of nodes (a, b), some repeated, that connect all nodes with equal group content."""
-
-    def star(signs: list[np.ndarray], names: list[np.ndarray]) -> pa.RecordBatch:
-        sign, name = np.concatenate(signs), np.concatenate(names)
-        order = np.lexsort((name, sign))
-        sign, name = sign[order], name[order]
-        new = np.append(True, sign[1:] != sign[:-1])
-        least = name[np.flatnonzero(new)][np.cumsum(new) - 1]
-        # Nodes that share a group here are tied to the smallest of them; it alone goes on for all.
-        tie = np.flatnonzero(~new & (name != least))
-        pairs = np.unique(np.stack([least[tie], name[tie]]), axis=1)
-        tied = mix(pairs[0] ^ mix(pairs[1]))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(signed(np.concatenate([sign[new], tied, tied]))), pa.array(signed(np.concatenate([name[new], pairs[0], pairs[1]])))],
-            names=["sign", "node"],
-        )
+    """Pairs of nodes (a, b), some repeated, that connect all nodes with equal group content, but for the content that
+    each may leave out: what the most nodes share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signs, names, held, seen = [], [], 0, set()
+        given, seen = 0, set()
         for batch in batches:
             for part in slices(batch, "text"):
                 value, at, name, _ = _named(part, k, seed)
-                row, sign = signatures(value, at, num, den)
+                row, sign, spare = signatures(value, at, num, den)
                 fresh = np.zeros(len(name), dtype=bool)
                 for i, x in enumerate(name.tolist()):
                     if x not in seen:
                         seen.add(x)
                         fresh[i] = True
                 take = fresh[row]
-                signs.append(sign[take])
-                names.append(name[row[take]])
-                held += int(take.sum())
-                if held >= FLUSH:
-                    yield star(signs, names)
-                    signs, names, held, seen = [], [], 0, set()
-        if held:
-            yield star(signs, names)
-
-    signed_ = _texts(docs).select("text").filter("text IS NOT NULL").mapInArrow(run, "sign long, node long")
-    inside = Window.partitionBy("sign").orderBy("node").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return signed_.select(F.first("node").over(inside).alias("a"), F.col("node").alias("b")).filter("a <> b")
+                columns = signed(sign[take]), signed(name[row[take]]), spare[take].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sign", "node", "spare"])
+                given += int(take.sum())
+                if given >= FLUSH:
+                    given, seen = 0, set()
+
+    signed_ = _texts(docs).select("text").filter("text IS NOT NULL").mapInArrow(run, "sign long, node long, spare int")
+    several = signed_.repartition("sign").sortWithinPartitions("sign", "node").mapInArrow(
+        _shared, "sign long, node long, spare int, heat int, least long"
+    )
+    hottest = Window.partitionBy("node", "spare").orderBy(F.desc("heat"), "sign")
+    colder = several.withColumn("rank", F.row_number().over(hottest)).filter("rank > shiftright(spare, 1)")
+    return colder.select(F.col("least").alias("a"), F.col("node").alias("b")).filter("a <> b")
 
 
 def _leaves(members: DataFrame, *order: str) -> DataFrame:

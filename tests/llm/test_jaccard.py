@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerprep.llm import jaccard
@@ -99,6 +100,33 @@ def test_bands_hold_all_sizes_that_link(num, den):
     assert (groups == differ + 1 + spare).all()
 
 
+def test_common_passages_tie_no_texts(documents, scratch):
+    """Texts that share a passage and no more are of no common family; near copies still are, and so are texts of it alone."""
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{i}" for i in range(25))
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 10**9, 75)) + f" {passage} " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 75))) for i in range(160)]
+    rows += [(200 + i, f"new {rows[i][1]} end") for i in range(20)] + [(300, passage), (301, f"{passage} end")]
+    docs = documents(rows)
+    found = components(jaccard.shared_groups(docs, 5, 80, 100, 0), scratch).collect()
+    assert 21 <= len(found) <= 24
+    assert got(jaccard.near_duplicates(docs, scratch)) == brute(rows, 5, 80, 100)
+
+
+@pytest.mark.parametrize("hottest", [2, 3, 1000])
+@pytest.mark.parametrize("size", [1, 4, 200])
+def test_nodes_of_a_signature_across_batches(monkeypatch, hottest, size):
+    monkeypatch.setattr(jaccard, "HOTTEST", hottest)
+    rng = np.random.default_rng(size)
+    rows = sorted((int(s), int(n), int(n) % 5) for s, n in zip(rng.geometric(0.2, 120), rng.integers(-9, 9, 120), strict=True))
+    table = pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32()))], names=["sign", "node", "spare"])
+    out = pa.Table.from_batches(jaccard._shared(iter(table.to_batches(max_chunksize=size)))).to_pylist()
+    nodes = {}
+    for sign, node, _ in rows:
+        nodes.setdefault(sign, set()).add(node)
+    expected = [(s, n, d, min(len(nodes[s]), hottest), min(nodes[s])) for s, n, d in sorted(set(rows)) if len(nodes[s]) > 1]
+    assert [tuple(r.values()) for r in out] == expected
+
+
 def test_components_of_paths_and_stars(spark, scratch):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (200, 199)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
